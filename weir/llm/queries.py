@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash
+from . import bpe, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,8 +34,26 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and their texts decoded again, as digests."""
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary())
+    coded = bpe.decode(coded, _vocabulary())
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_consistent_hash_sharding, op2_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_consistent_hash_sharding, op2_simhash_near_dedup, op3_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
