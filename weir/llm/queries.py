@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, simhash
+from . import bpe, language, media, mixing, quality, sharding, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,9 +52,79 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best answers to every fiftieth vector, among all others."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as WAV files, read back and fingerprinted, as digests."""
+    loaded = media.load(media.store(_table(spark, sf_dir, "documents")))
+    tail = F.expr("substring(payload, greatest(length(payload) - 31, 1), 32)")
+    prints = F.lpad(F.lower(F.hex(F.xxhash64("print_frames", "print_codes"))), 16, "0")
+    return loaded.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(tail).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", "frames", F.size("print_codes"), prints).alias("feature"),
+    )
+
+
+def op10_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+QUERIES = (
+    op1_consistent_hash_sharding,
+    op2_simhash_near_dedup,
+    op3_bpe_round_trip,
+    op4_quality_classifier,
+    op5_exact_top_k,
+    op6_language_id,
+    op7_media_columns,
+    op10_entropy_balanced_mix,
+)
+
+#: DuckDB SQL of the queries that SQL can express.
+ORACLES = {
+    "op5_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+}
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_consistent_hash_sharding, op2_simhash_near_dedup, op3_bpe_round_trip)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
