@@ -151,6 +151,32 @@ def learn(docs: DataFrame, *, floor: float = 1e-5, ratio: float = 8, text_col: s
     return Filters(languages, common["lang"].map(index).to_numpy(np.int64), common["gram"].to_numpy(np.int64).view(np.uint64))
 
 
+def guess(filters: Filters, batches: Batches, column: str):
+    """(rows, numbers of their languages (-1: none), scores), slice by slice."""
+    known = len(filters.languages)
+    for batch, parts in pieces(batches, column):
+        n = batch.num_rows
+        hits, total, letters = np.zeros((n, known)), np.zeros(n), np.zeros(n, bool)
+        for index, raw, off in parts:
+            text, gram, has = trigrams(raw, off)
+            letters[index] |= has
+            total[index] += np.bincount(text, minlength=len(index))
+            if len(gram) and known:
+                hits[index] += filters.hits(text, gram, len(index))
+        if not known:
+            yield batch, np.full(n, -1), np.zeros(n)
+            continue
+        chance = filters.by_chance[None, :]
+        true = np.clip((hits - total[:, None] * chance) / np.maximum(1 - chance, 1e-9), 0, None)
+        best = true.argmax(1)
+        share = np.clip(true[np.arange(n), best] / np.maximum(total, 1), 0, 1)
+        yield batch, np.where(letters, best, -1), np.where(letters, share, 0.0)
+
+
+def _taught(docs: DataFrame, folds: int, held: int, id_col: str) -> DataFrame:
+    return docs.where(crc32_of_id(F.col(id_col)) % folds != held)
+
+
 def identify(
     docs: DataFrame, *, folds: int = 3, held: int = 1, floor: float = 1e-5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
@@ -164,33 +190,36 @@ def identify(
     chance would give (0 for ``und``). Repeated rows are given back as often as
     they come. Empty tables give empty results. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    taught = docs.where(crc32_of_id(F.col(id_col)) % folds != held)
-    filters = spark.sparkContext.broadcast(learn(taught, floor=floor, text_col=text_col, lang_col=lang_col))
+    learned = learn(_taught(docs, folds, held, id_col), floor=floor, text_col=text_col, lang_col=lang_col)
+    filters = docs.sparkSession.sparkContext.broadcast(learned)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = dict(texts.dtypes)["id"]
 
     def run(batches: Batches) -> Batches:
-        f = filters.value
-        names = np.array([*f.languages, UNKNOWN], object)
-        for batch, parts in pieces(batches):
-            n = batch.num_rows
-            hits, all_grams, letters = np.zeros((n, len(f.languages))), np.zeros(n), np.zeros(n, bool)
-            for index, raw, off in parts:
-                text, gram, has = trigrams(raw, off)
-                letters[index] |= has
-                all_grams[index] += np.bincount(text, minlength=len(index))
-                if len(gram) and f.languages:
-                    hits[index] += f.hits(text, gram, len(index))
-            if f.languages:
-                chance = f.by_chance[None, :]
-                true = np.clip((hits - all_grams[:, None] * chance) / np.maximum(1 - chance, 1e-9), 0, None)
-                best = true.argmax(1)
-                share = np.clip(true[np.arange(n), best] / np.maximum(all_grams, 1), 0, 1)
-            else:
-                best, share, letters = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool)
-            best = np.where(letters, best, len(f.languages))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(np.where(letters, share, 0.0))], names=["id", "lang_pred", "score"])
-
-    found = arrow_map(texts, run, f"id {kind}, lang_pred string, score double")
+        names = np.array([*filters.value.languages, UNKNOWN], object)
+        for batch, best, share in guess(filters.value, batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(share)], names=["id", "lang_pred", "score"])
+
+    found = arrow_map(texts, run, f"id {dict(texts.dtypes)['id']}, lang_pred string, score double")
     return found.select(F.col("id").alias(id_col), (crc32_of_id(F.col("id")) % folds == held).alias("held_out"), "lang_pred", "score")
+
+
+def keep(
+    docs: DataFrame,
+    *,
+    least: float = 0.2,
+    folds: int = 3,
+    held: int = 1,
+    floor: float = 1e-5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+) -> DataFrame:
+    """The rows of ``docs``, whole, that are in a learned language with a score of ``least`` or more. Nothing is shuffled for it."""
+    learned = learn(_taught(docs, folds, held, id_col), floor=floor, text_col=text_col, lang_col=lang_col)
+    filters = docs.sparkSession.sparkContext.broadcast(learned)
+
+    def run(batches: Batches) -> Batches:
+        for batch, best, share in guess(filters.value, batches, text_col):
+            yield batch.filter(pa.array((best >= 0) & (share >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -82,9 +82,9 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     return np.hstack([context / np.where(norm > 0, norm, 1), index_vectors() / np.sqrt(NONZERO)]).astype(np.float32)
 
 
-def _features(batches: Batches, table: np.ndarray):
+def _features(batches: Batches, table: np.ndarray, column: str):
     """(rows, features) slice by slice."""
-    for batch, parts in pieces(batches):
+    for batch, parts in pieces(batches, column):
         n = batch.num_rows
         pooled, count, equal = np.zeros((n, 2 * DIMS)), np.zeros(n), np.zeros((n, 2))
         for rows, raw, off in parts:
@@ -164,53 +164,77 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 80, seed:
     return net
 
 
-def score(
-    docs: DataFrame,
-    labels: DataFrame,
-    *,
-    sample: int = 20_000,
-    folds: int = 5,
-    threshold: float = 0.3,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "quality",
-) -> DataFrame:
-    """``<id_col>, held_out, score, predicted`` for every row.
+@dataclass
+class Scorer:
+    """What scoring needs: the vectors and the network, each sent to every executor once (1 MB in all)."""
+
+    table: object
+    network: object
+
+    def batches(self, batches: Batches, column: str):
+        """(rows, their scores), slice by slice."""
+        for batch, x in _features(batches, self.table.value, column):
+            yield batch, self.network.value.score(x)
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+) -> Scorer:
+    """Word vectors from all of ``docs``, and a network from at most ``sample`` labelled rows of it.
 
     Rows whose crc32 of the id (as text) leaves 0 by ``folds`` are held out and
-    teach nothing. Null texts count as empty; empty texts get a score as well.
-    Labels that are null, and ids that are null, teach nothing; an id labelled
-    twice counts with its smallest label; ids without a document are ignored.
-    Repeated rows are given back as often as they come. Without labels every score
-    is 0.5. Empty tables give empty results. Other columns are ignored.
+    teach no label. Labels that are null, and ids that are null, teach nothing; an
+    id labelled twice counts with its smallest label; ids without a document are
+    ignored.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kind = dict(texts.dtypes)["id"]
     table = spark.sparkContext.broadcast(word_vectors(texts))
-
     taught = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (crc32_of_id(F.col(id_col)) % folds != 0))
     taught = taught.groupBy(F.col(id_col).alias("id")).agg((F.min(label_col) > 0).cast("double").alias("y"))
     chosen = taught.select("id", "y", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample)
     known = texts.join(F.broadcast(chosen), "id").select("text", "h", "y")  # ``sample`` rows of 24 bytes at most
 
     def features(batches: Batches) -> Batches:
-        for batch, x in _features(batches, table.value):
+        for batch, x in _features(batches, table.value, "text"):
             rows = pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), rows], names=["h", "y", "x"])
 
     found = arrow_map(known, features, "h long, y double, x binary").orderBy("h", "x").limit(sample).toPandas()
     x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, FEATURES).astype(np.float64)
-    net = spark.sparkContext.broadcast(fit(x, found["y"].to_numpy(np.float64)))
+    return Scorer(table, spark.sparkContext.broadcast(fit(x, found["y"].to_numpy(np.float64))))
+
 
-    def scores(batches: Batches) -> Batches:
-        for batch, x in _features(batches, table.value):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.value.score(x))], names=["id", "score"])
+def score(
+    docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """``<id_col>, held_out, score, predicted`` for every row; ``options`` are those of ``train``.
+
+    Null texts count as empty; empty texts get a score as well. Repeated rows are
+    given back as often as they come, null ids are kept. Without labels every
+    score is 0.5. Empty tables give empty results. Other columns are ignored.
+    """
+    scorer = train(docs, labels, folds=folds, id_col=id_col, text_col=text_col, **options)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Batches) -> Batches:
+        for batch, found in scorer.batches(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "score"])
 
-    scored = arrow_map(texts, scores, f"id {kind}, score double")
-    return scored.select(
+    return arrow_map(texts, run, f"id {dict(texts.dtypes)['id']}, score double").select(
         F.col("id").alias(id_col),
         (crc32_of_id(F.col("id")) % folds == 0).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, whole, that ``score`` predicts as good. Nothing is shuffled for it."""
+    scorer = train(docs, labels, text_col=text_col, **options)
+
+    def run(batches: Batches) -> Batches:
+        for batch, found in scorer.batches(batches, text_col):
+            yield batch.filter(pa.array(found >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

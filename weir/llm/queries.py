@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, media, mixing, quality, sharding, simhash, topk
+from . import bpe, language, licenses, media, mixing, pages, quality, sharding, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +34,8 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
+    """The byte-level vocabulary that the queries use."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -42,8 +43,8 @@ def _vocabulary() -> str:
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents and their texts decoded again, as digests."""
-    coded = bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary())
-    coded = bpe.decode(coded, _vocabulary())
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), vocabulary())
+    coded = bpe.decode(coded, vocabulary())
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -85,6 +86,17 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license text or notice in all documents, with its coverage."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    found = pages.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -99,6 +111,8 @@ QUERIES = (
     op5_exact_top_k,
     op6_language_id,
     op7_media_columns,
+    op8_license_scan,
+    op9_html_extraction,
     op10_entropy_balanced_mix,
 )
 
