@@ -54,12 +54,13 @@ class Codec:
     """Encoder and decoder of one vocabulary file of the tokenizers library.
 
     Byte-level BPE whose merges stand in the order of their ids is run by tiktoken
-    (the same ids, several times faster); any other file by tokenizers itself.
+    (the same ids, several times faster); any other file by tokenizers itself. What
+    is pickled is a list of the tokens' bytes (or the file), not the parsed file, so
+    a worker holds little more than its encoder.
     """
 
     def __init__(self, file: str):
         spec = json.loads(file)
-        self._file, self._fast, self._library = file, None, None
         letters = byte_letters()
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
@@ -75,43 +76,62 @@ class Codec:
             and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added.values())
             and all(set(t) <= letters.keys() for t in vocab if t not in added)
         )
+        #: Bytes of an id in packed form.
         self.width = 2 if max([*vocab.values(), *(t["id"] for t in added.values())], default=0) < 1 << 16 else 4
         #: Whether cuts between letter, space and letter are breaks of any encoding.
         self.breaks = plain and not any(" " in t for t in added)
+        self.digest = xxhash.xxh3_128_hexdigest(file)
+        self._file, self._special, self._tokens = (None if plain else file), {t: x["id"] for t, x in added.items()}, None
+        self._tool = None
         if plain:
-            import tiktoken
+            table = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if t not in added} | {i: t.encode() for t, i in self._special.items()}
+            self._tokens = [table.get(i, b"") for i in range(max(table) + 1)]
 
-            ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in added}
-            special = {t: x["id"] for t, x in added.items()}
-            self._fast = tiktoken.Encoding("vocabulary", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            table = {i: t for t, i in ranks.items()} | {i: t.encode() for t, i in special.items()}
-            self._bytes = [table.get(i, b"") for i in range(max(table) + 1)]
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_tool": None}
 
     @property
-    def library(self):
-        if self._library is None:
+    def tool(self):
+        """The encoder, made where it is used."""
+        if self._tool is None and self._tokens is not None:
+            import tiktoken
+
+            special = set(self._special.values())
+            ranks = {t: i for i, t in enumerate(self._tokens) if t and i not in special}
+            self._tool = tiktoken.Encoding(self.digest, pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=self._special)
+        elif self._tool is None:
             from tokenizers import Tokenizer
 
-            self._library = Tokenizer.from_str(self._file)
-            self._library.no_padding()
-            self._library.no_truncation()
-        return self._library
+            self._tool = Tokenizer.from_str(self._file)
+            self._tool.no_padding()
+            self._tool.no_truncation()
+        return self._tool
 
     def encode(self, text: str) -> np.ndarray:
-        if self._fast is not None:
-            return np.asarray(self._fast.encode_to_numpy(text, allowed_special="all"), np.uint32)
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        if self._tokens is not None:
+            return np.asarray(self.tool.encode_to_numpy(text, allowed_special="all"), np.uint32)
+        return np.array(self.tool.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def decode(self, ids: list[int]) -> str:
-        if self._fast is not None:
-            table = self._bytes
+        if self._tokens is not None:
+            table = self._tokens
             return b"".join([table[i] for i in ids]).decode("utf-8", errors="replace")
-        return self.library.decode(ids, skip_special_tokens=False)
+        return self.tool.decode(ids, skip_special_tokens=False)
 
 
-@cache
-def _codec(file: str) -> Codec:
-    return Codec(file)
+def load(vocabulary: str) -> Codec:
+    """The codec of a file that the driver can read."""
+    with open(vocabulary, encoding="utf-8") as f:
+        return Codec(f.read())
+
+
+_made: dict[str, Codec] = {}
+
+
+def _codec(sent) -> Codec:
+    """The broadcast codec, one a worker however many tasks it runs."""
+    codec = sent.value
+    return _made.setdefault(codec.digest, codec)
 
 
 # --- cutting -----------------------------------------------------------------
@@ -237,7 +257,7 @@ def _encode_bodies(file, wanted) -> Callable[[Batches], Batches]:
     """Encode the bodies whose occurrence is in the filter."""
 
     def run(batches: Batches) -> Batches:
-        codec, words = _codec(file.value), wanted.value
+        codec, words = _codec(file), wanted.value
         for batch in small_slices(batches, "text", SLICE):
             s = _Slice(batch)
             mine = np.flatnonzero(bloom.holds(words, s.occurrence))
@@ -257,7 +277,7 @@ def _encode_alone(file, routed) -> Callable[[Batches], Batches]:
     """Encode the texts that hold no shared chunk."""
 
     def run(batches: Batches) -> Batches:
-        codec = _codec(file.value)
+        codec = _codec(file)
         for batch in small_slices(batches, "text", SLICE):
             s = _Slice(batch, with_bodies=False)
             mine = np.flatnonzero(~bloom.holds(routed.value, s.t1 ^ s.t2)) if routed else np.arange(s.n)
@@ -284,7 +304,7 @@ def _assemble(file) -> Callable[[Batches], Batches]:
     """Ids of texts from those of their shared bodies and new ones for all between."""
 
     def run(batches: Batches) -> Batches:
-        codec = _codec(file.value)
+        codec = _codec(file)
         for batch in small_slices(batches, "text", SLICE):
             s, given = _Slice(batch), batch.column(2).to_pylist()
             first = np.searchsorted(s.owner, np.arange(s.n + 1))
@@ -316,10 +336,8 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
     columns are ignored. One row's text has to fit in memory.
     """
     spark = docs.sparkSession
-    with open(vocabulary, encoding="utf-8") as f:
-        content = f.read()
-    codec = Codec(content)
-    file = spark.sparkContext.broadcast(content)  # a vocabulary file, a few MB
+    codec = load(vocabulary)
+    file = spark.sparkContext.broadcast(codec)  # a vocabulary, a few MB
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(texts.dtypes)["id"]
     if not codec.breaks:  # no place is known where a join is exact: every text as a whole
@@ -339,8 +357,9 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
     named = uses.select("t1", "t2").distinct().select(F.col("t1").bitwiseXOR(F.col("t2")).alias("t"))
     routed = spark.sparkContext.broadcast(bloom.build(named, "t"))
     pieces = uses.join(encoded, ["h1", "h2"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("p", "ids")).alias("pieces"))
+    pieces = materialize(pieces, "pieces")  # so that the join below is one of two tables, whose large partitions AQE can split
     moved = arrow_map(texts, _route(routed), f"id {kind}, t1 long, t2 long, text string")
-    joined = moved.join(pieces, ["t1", "t2"], "left").select("id", "text", "pieces")
+    joined = moved.join(pieces.hint("merge"), ["t1", "t2"], "left").select("id", "text", "pieces")
     alone = arrow_map(texts, _encode_alone(file, routed), f"id {kind}, ids array<int>")
     both = alone.unionByName(arrow_map(joined, _assemble(file), f"id {kind}, ids array<int>"))
     return both.withColumnRenamed("id", id_col)
@@ -352,12 +371,11 @@ def decode(encoded: DataFrame, vocabulary: str, *, ids_col: str = "ids") -> Data
     A column named ``decoded`` is replaced.
     """
     spark = encoded.sparkSession
-    with open(vocabulary, encoding="utf-8") as f:
-        file = spark.sparkContext.broadcast(f.read())
+    file = spark.sparkContext.broadcast(load(vocabulary))
     kept = [c for c in encoded.columns if c != "decoded"]
 
     def run(batches: Batches) -> Batches:
-        codec = _codec(file.value)
+        codec = _codec(file)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
@@ -366,4 +384,4 @@ def decode(encoded: DataFrame, vocabulary: str, *, ids_col: str = "ids") -> Data
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*kept, "decoded"])
 
     schema = encoded.select(*kept, F.lit("").alias("decoded")).schema
-    return encoded.select(*kept).mapInArrow(run, schema)
+    return arrow_map(encoded.select(*kept), run, schema)

@@ -10,10 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: What splits words everywhere in this subpackage: the space and 0x09 to 0x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch between Spark and Python; the session's own setting is kept where it is lower.
+BATCH_ROWS = 2000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
@@ -91,6 +95,9 @@ def small_slices(batches: Batches, column: str, limit: int = 4_000_000) -> Batch
             begin = end
 
 
-def arrow_map(df: DataFrame, function: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """``mapInArrow``; one place to change how Arrow stages run."""
+def arrow_map(df: DataFrame, function: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows, since the rows hold texts."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(function, schema)

@@ -222,4 +222,4 @@ def keep(
         for batch, best, share in guess(filters.value, batches, text_col):
             yield batch.filter(pa.array((best >= 0) & (share >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

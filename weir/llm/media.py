@@ -148,4 +148,4 @@ def load(stored: DataFrame, *, media_col: str = "media") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary()), count, *lists], names=[*kept, *new])
 
     schema = stored.select(*kept, *[F.lit(None).cast(t).alias(c) for c, t in new.items()]).schema
-    return stored.select(*kept).mapInArrow(run, schema)
+    return arrow_map(stored.select(*kept), run, schema)

@@ -237,4 +237,4 @@ def keep(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, text_col
         for batch, found in scorer.batches(batches, text_col):
             yield batch.filter(pa.array(found >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
