@@ -1,0 +1,151 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import types as T
+
+from weir.errors import ConflictError, DataError, TableError
+from weir.sources.tables import KeyedTable, TableSpec
+
+SCHEMA = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("status", T.StringType()), T.StructField("version", T.LongType())])
+
+
+@pytest.fixture
+def make(spark, tmp_path):
+    def table(**options):
+        spec = TableSpec(options.pop("schema", SCHEMA), ("id",), **{"buckets": 2, "sequence_field": "version"} | options)
+        return KeyedTable.create(spark, f"file://{tmp_path}/t", spec)
+
+    return table
+
+
+def df(spark, *rows, schema=SCHEMA):
+    return spark.createDataFrame(list(rows), schema)
+
+
+def rows(frame):
+    return sorted(map(tuple, frame.collect()))
+
+
+def test_a_lower_sequence_never_overwrites(spark, make):
+    t = make()
+    t.commit(df(spark, (1, "new", 5), (2, "a", 1)))
+    t.commit(df(spark, (1, "old", 3), (2, "b", 1)))
+    assert rows(t.read()) == [(1, "new", 5), (2, "b", 1)]  # of equal sequences the later commit
+    assert rows(t.read(1)) == [(1, "new", 5), (2, "a", 1)]
+
+
+def test_without_a_sequence_the_last_commit_counts(spark, make):
+    t = make(sequence_field=None)
+    t.commit(df(spark, (1, "a", 9)))
+    t.commit(df(spark, (1, "b", 1)))
+    assert rows(t.read()) == [(1, "b", 1)]
+
+
+def test_a_batch_commits_once(spark, make):
+    t = make()
+    assert t.commit(df(spark, (1, "a", 1)), writer="w", identifier=4, progress={"at": 7}).id == 1
+    assert t.commit(df(spark, (9, "x", 1)), writer="w", identifier=4) is None
+    assert t.commit(df(spark, (2, "b", 1)), writer="v", identifier=4).id == 2
+    assert (t.last_identifier("w"), t.last_identifier("v"), t.last_identifier("u")) == (4, 4, None)
+    assert t.snapshot().progress == {"w": {"at": 7}}
+    assert rows(t.read()) == [(1, "a", 1), (2, "b", 1)]
+
+
+def test_no_rows_no_snapshot(spark, make):
+    t = make()
+    assert t.commit(df(spark)) is None
+    assert t.latest_id() == 0 and rows(t.read()) == []
+
+
+def test_rows_are_checked(spark, make):
+    t = make()
+    with pytest.raises(DataError, match="columns"):
+        t.commit(spark.sql("SELECT 1L AS id"))
+    with pytest.raises(DataError, match="bigint"):
+        t.commit(spark.sql("SELECT 1 AS id, 'a' AS status, 1L AS version"))
+    with pytest.raises(Exception, match="'id' is null"):
+        t.commit(spark.sql("SELECT CAST(NULL AS LONG) AS id, 'a' AS status, 1L AS version"))
+    with pytest.raises(DataError, match="row kinds"):
+        t.commit(spark.sql("SELECT 1L AS id, 'a' AS status, 1L AS version, '+I' AS rowkind"))
+    assert t.latest_id() == 0
+
+
+def test_row_kinds(spark, make):
+    t = make(changelog="input")
+    schema = T.StructType([*SCHEMA, T.StructField("rowkind", T.StringType())])
+    t.commit(df(spark, (1, "a", 1, "+i"), (2, "a", 1, "+I"), (2, "before", 9, "-U"), (2, "b", 2, "+U"), schema=schema))
+    t.commit(df(spark, (1, None, 3, "-D"), schema=schema))
+    assert rows(t.read()) == [(2, "b", 2)]
+    assert sorted(r["rowkind"] for r in t.tail(0, changelog=True)[1].collect()) == ["+I", "+I", "+U", "-D", "-U"]
+    assert t.tail(1)[1].count() == 0
+    for bad in (None, "x"):
+        with pytest.raises(Exception, match="row kind"):
+            t.commit(df(spark, (1, "a", 1, bad), schema=schema))
+    t.compact(2)
+    t.commit(df(spark, (1, "late", 2, "+I"), schema=schema))
+    assert rows(t.read()) == [(2, "b", 2)]  # the deletion's sequence outlives a compaction
+
+
+def test_row_kind_field(spark, make):
+    schema = T.StructType([*SCHEMA, T.StructField("kind", T.StringType())])
+    t = make(schema=schema, rowkind_field="kind")
+    t.commit(df(spark, (1, "a", 1, "+I"), (2, "a", 1, "+I"), (2, "a", 2, "-D"), schema=schema))
+    assert rows(t.read()) == [(1, "a", 1, "+I")]
+
+
+def test_compaction(spark, make):
+    t = make()
+    for k in range(3):
+        t.commit(df(spark, *[(i, f"v{k}", k) for i in range(6)]))
+    before = rows(t.read())
+    assert t.compact(8) is None
+    assert t.compact(3).kind == "COMPACT"
+    assert rows(t.read()) == before and len(t.snapshot().live) == 1
+    assert t.compact(3) is None
+    with pytest.raises(TableError):
+        t.compact(1)
+
+
+def test_tail(spark, make):
+    t = make()
+    t.commit(df(spark, (1, "a", 1)))
+    t.commit(df(spark, (1, "b", 2)))
+    t.compact(2)
+    assert t.next_append(0)[0] == 1 and t.next_append(1)[0] == 2 and t.next_append(2) is None
+    latest, delta = t.tail(1)
+    assert (latest, rows(delta)) == (3, [(1, "b", 2)])
+    assert t.tail(3) == (3, None)
+    t.commit(df(spark, (5, "x", 1)), kind="OVERWRITE")
+    assert rows(t.read()) == [(5, "x", 1)]
+    with pytest.raises(TableError, match="overwrites"):
+        t.next_append(3)
+    assert t.next_append(3, changelog=True) is None
+
+
+def test_another_writer_in_between(spark, make, monkeypatch):
+    t = make()
+    publish, lost = t.files.publish, []
+
+    def late(path, content):
+        if path.endswith("/1.json") and not lost:
+            lost.append(path)
+            publish(path, content.replace('"APPEND"', '"ANALYZE"'))
+        return publish(path, content)
+
+    monkeypatch.setattr(t.files, "publish", late)
+    assert t.commit(df(spark, (1, "a", 1)), writer="w", identifier=0) is None or t.latest_id() == 2
+    monkeypatch.setattr(t.files, "publish", lambda p, c: False)
+    with pytest.raises(ConflictError):
+        t.commit(df(spark, (2, "a", 1)))
+
+
+def test_specs(spark, tmp_path):
+    for bad in (TableSpec(SCHEMA, ()), TableSpec(SCHEMA, ("x",)), TableSpec(SCHEMA, ("id",), buckets=0), TableSpec(SCHEMA, ("id",), sequence_field="x"), TableSpec(SCHEMA, ("id",), rowkind_field="id")):
+        with pytest.raises(TableError):
+            KeyedTable.create(spark, f"file://{tmp_path}/bad", bad)
+    with pytest.raises(TableError):
+        KeyedTable(spark, f"file://{tmp_path}/none")
+    a = KeyedTable.create(spark, f"file://{tmp_path}/a", TableSpec(SCHEMA, ("id",)))
+    assert KeyedTable(spark, a.path).spec == a.spec
+    with pytest.raises(TableError):
+        KeyedTable.create(spark, a.path, a.spec)

@@ -1,0 +1,219 @@
+"""The micro-cases of window semantics, under the strict clock and over bounded inputs."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from weir.errors import BindError, TableError
+from weir.operators.windows import watermark_ms, window_aggregate
+from weir.plans.shapes import Aggregate, Derived, WindowShape
+from weir.streaming.native import stream_windows
+from weir.streaming.strict import Clock, StrictWindow
+
+AGGS = (Aggregate("COUNT", None, "n"), Aggregate("SUM", "amount", "amount_sum"))
+
+
+def shape(kind="tumble", size=1000, slide=None, aggs=AGGS, **more):
+    return WindowShape(kind, "t", size, slide, ("k",), aggs, **more)
+
+
+def frame(spark, *rows):
+    """Rows (key, time, amount[, partition])."""
+    return spark.createDataFrame([(*r, "0") if len(r) == 3 else r for r in rows], "k long, t long, amount long, __partition string")
+
+
+@pytest.fixture
+def strict(spark, tmp_path):
+    def make(shape, lag=0, idle=None):
+        return StrictWindow(spark, f"file://{tmp_path}/state", shape, lag, idle)
+
+    return make
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_tumble_closes_and_keeps_one_open(spark, strict):
+    op = strict(shape())
+    assert rows(op.apply(frame(spark, (1, 1500, 10), (1, 2400, 1)), 0)) == [(1, 1000, 2000, 1, 10)]
+    assert rows(op.open_windows(0)) == [(1, 2000, 3000)]
+
+
+def test_hop(spark, strict):
+    op = strict(shape("hop", 10_000, 5_000))
+    assert rows(op.apply(frame(spark, (1, 12_000, 3)), 0)) == [(1, 5_000, 15_000, 1, 3)][:0]
+    assert rows(op.apply(frame(spark, (1, 20_000, 0)), 1)) == [(1, 5_000, 15_000, 1, 3), (1, 10_000, 20_000, 1, 3)]
+
+
+def test_session_closes_at_gap(spark, strict):
+    op = strict(shape("session", 5_000))
+    assert rows(op.apply(frame(spark, (1, 0, 2), (1, 4_000, 3), (1, 9_000, 1), (1, 20_000, 9)), 0)) == [(1, 0, 4_000, 2, 5), (1, 9_000, 9_000, 1, 1)]
+
+
+def test_session_boundary_is_strict(spark, strict):
+    op = strict(shape("session", 5_000))
+    assert rows(op.apply(frame(spark, (1, 0, 1), (1, 5_000, 1), (1, 30_000, 1)), 0)) == [(1, 0, 0, 1, 1), (1, 5_000, 5_000, 1, 1)]
+
+
+def test_session_bridge_over_epochs(spark, strict):
+    op = strict(shape("session", 6_000), lag=5_000)
+    assert rows(op.apply(frame(spark, (1, 0, 1)), 0)) == []
+    assert rows(op.apply(frame(spark, (1, 10_000, 1)), 1)) == []
+    assert rows(op.apply(frame(spark, (1, 5_000, 1)), 2)) == []
+    assert rows(op.apply(frame(spark, (1, 40_000, 1)), 3)) == [(1, 0, 10_000, 3, 3)]
+
+
+def test_late_row_is_dropped(spark, strict):
+    op = strict(shape("tumble", 10_000))
+    op.apply(frame(spark, (1, 5_000, 1)), 0)
+    op.apply(frame(spark, (1, 100, 1)), 1)  # its window is open, but the clock is past it
+    assert op.clock(1).watermark == 5_000
+    assert rows(op.apply(frame(spark, (1, 10_000, 0)), 2)) == [(1, 0, 10_000, 1, 1)]
+
+
+def test_epoch_is_judged_by_the_clock_before_it(spark, strict):
+    op = strict(shape("tumble", 60_000), lag=10_000)
+    assert rows(op.apply(frame(spark, (1, 70_000, 1), (1, 1_000, 2)), 0)) == [(1, 0, 60_000, 1, 2)]
+
+
+def test_clock_is_the_least_of_the_partitions(spark, strict):
+    op = strict(shape(), lag=0)
+    op.apply(frame(spark, (1, 5_000, 1, "a"), (1, 1_500, 1, "b")), 0)
+    assert op.clock(0).watermark == 1_500
+    assert rows(op.apply(frame(spark, (1, 4_000, 1, "b")), 1)) == [(1, 1_000, 2_000, 1, 1)]
+
+
+def test_idle_partition_leaves_the_minimum(spark, strict):
+    op = strict(shape(), idle=1_000)
+    op.apply(frame(spark, (1, 5_000, 1, "a"), (1, 1_500, 1, "b")), 0, now_ms=0)
+    op.apply(frame(spark, (1, 6_000, 1, "a")), 1, now_ms=2_000)
+    assert op.clock(1).watermark == 6_000
+    op.apply(frame(spark), 2, now_ms=60_000)  # all idle: the clock stands
+    assert op.clock(2).watermark == 6_000
+
+
+def test_backlog_holds_the_clock(spark, strict):
+    op = strict(shape(), idle=1_000)
+    op.apply(frame(spark, (1, 5_000, 1, "a")), 0, backlog=frozenset("ab"))
+    assert op.clock(0).watermark is None
+    op.apply(frame(spark, (1, 2_000, 1, "b")), 1, now_ms=10_000, backlog=frozenset("ab"))
+    assert op.clock(1).watermark == 2_000
+
+
+def test_clock_never_goes_back():
+    c = Clock({"a": 100}, {"a": 0}, 500)
+    c.advance(0, None, 0)
+    assert c.watermark == 500
+
+
+def test_nulls_belong_to_no_window_and_move_no_clock(spark, strict):
+    op = strict(shape())
+    df = spark.createDataFrame([(None, 9_000, 1), (1, None, 1), (1, 1_500, None)], "k long, t long, amount long")
+    op.apply(df, 0)
+    assert op.clock(0).watermark == 1_500
+    assert rows(op.apply(frame(spark, (1, 2_500, 1)), 1)) == [(1, 1_000, 2_000, 1, None)]
+
+
+def test_an_epoch_that_runs_again_gives_the_same(spark, strict):
+    op = strict(shape())
+    op.apply(frame(spark, (1, 1_500, 10)), 0)
+    first = rows(op.apply(frame(spark, (1, 2_400, 1)), 1))
+    assert rows(op.apply(frame(spark, (1, 2_400, 1)), 1)) == first == [(1, 1_000, 2_000, 1, 10)]
+    assert rows(op.apply(frame(spark, (1, 3_400, 1)), 2)) == [(1, 2_000, 3_000, 1, 1)]
+
+
+def test_state_of_another_query_is_refused(strict):
+    strict(shape())
+    with pytest.raises(TableError):
+        strict(shape(size=2_000))
+
+
+def test_overflow_fails_and_leaves_the_state(spark, strict):
+    op = strict(shape("tumble", 10_000))
+    op.apply(frame(spark, (1, 1_000, 10)), 0)
+    with pytest.raises(Exception, match="OVERFLOW|overflow"):
+        op.apply(frame(spark, (1, 2_000, 2**63 - 1)), 1)
+    assert rows(op.apply(frame(spark, (1, 12_000, 1)), 1)) == [(1, 0, 10_000, 1, 10)]
+
+
+def test_random_sessions_and_tumbles_over_epochs(spark, tmp_path):
+    rng = random.Random(7)
+    for kind, size in (("tumble", 50), ("hop", 60), ("session", 30)):
+        s = shape(kind, size, 20 if kind == "hop" else None)
+        op = StrictWindow(spark, f"file://{tmp_path}/{kind}", s, 40)
+        kept, got, mark = [], [], None
+        for epoch in range(3):
+            batch = [(rng.randrange(3), epoch * 100 + rng.randrange(220), rng.randrange(9)) for _ in range(30)]
+            got += rows(op.apply(frame(spark, *batch), epoch))
+            kept += [r for r in batch if mark is None or r[1] >= mark]
+            mark = max(mark or -100, max(t for _, t, _ in kept) - 40)
+        want = []
+        for k in range(3):
+            own = sorted((t, a) for key, t, a in kept if key == k)
+            if kind == "session":
+                groups = []
+                for t, a in own:
+                    if groups and t - groups[-1][-1][0] < size:
+                        groups[-1].append((t, a))
+                    else:
+                        groups.append([(t, a)])
+                want += [(k, g[0][0], g[-1][0], len(g), sum(a for _, a in g)) for g in groups if g[-1][0] + size <= mark]
+            else:
+                step = 20 if kind == "hop" else size
+                starts = {t - t % step - i * step for t, _ in own for i in range(size // step)}
+                for st in starts:
+                    inside = [a for t, a in own if st <= t < st + size]
+                    if st + size <= mark:
+                        want.append((k, st, st + size, len(inside), sum(inside)))
+        assert sorted(got) == sorted(want), kind
+
+
+def test_bounded_aggregates(spark):
+    aggs = (Aggregate("COUNT", None, "n"), Aggregate("COUNT", "v", "nv"), Aggregate("SUM", "v", "s"), Aggregate("MIN", "v", "lo"), Aggregate("MAX", "v", "hi"), Aggregate("AVG", "v", "m"), Aggregate("SUM", "i", "si", "7"), Aggregate("MAX", "CASE WHEN i > 100 THEN i END", "none", "0"))
+    df = spark.createDataFrame([(1, -1, 1.5, 1), (1, -2, None, None), (2, 0, None, None)], "k long, t long, v double, i int")
+    s = shape(aggs=aggs, derived=(Derived("sum", ("si", "none")),))
+    out = window_aggregate(df, s)
+    assert out.columns == s.output_columns
+    assert rows(out) == [(1, -1000, 0, 2, 1, 1.5, 1.5, 1.5, 1.5, 1, 0, 1), (2, 0, 1000, 1, 0, None, None, None, None, 7, 0, 7)]
+
+
+def test_times(spark):
+    one = (Aggregate("COUNT", None, "n"),)
+    ts = spark.sql("SELECT 1L AS k, TIMESTAMP'1970-01-01 00:00:01.999999' AS t, TIMESTAMP_NTZ'1970-01-01 00:00:01.999999' AS u, 5 AS v, 'x' AS w")
+    assert rows(window_aggregate(ts, shape(aggs=one))) == [(1, 1000, 2000, 1)]
+    assert rows(window_aggregate(ts.withColumn("t", ts.u), shape(aggs=one))) == [(1, 1000, 2000, 1)]
+    assert rows(window_aggregate(ts.withColumn("t", ts.v), shape(aggs=one))) == [(1, 0, 1000, 1)]
+    with pytest.raises(BindError):
+        window_aggregate(ts.withColumn("t", ts.w), shape(aggs=one))
+
+
+def test_arguments_are_checked(spark):
+    df = spark.createDataFrame([(1, 1, "x", float("inf"))], "k long, t long, s string, d double")
+    with pytest.raises(BindError, match="whole or floating"):
+        window_aggregate(df, shape(aggs=(Aggregate("SUM", "s", "x"),)))
+    with pytest.raises(BindError, match="fills"):
+        window_aggregate(df, shape(aggs=(Aggregate("SUM", "t", "x", "1.5"),)))
+    with pytest.raises(Exception, match="not a finite number"):
+        window_aggregate(df, shape(aggs=(Aggregate("SUM", "d", "x"),))).collect()
+    with pytest.raises(BindError, match="is not in its input"):
+        window_aggregate(df.drop("k"), shape())
+
+
+def test_empty_input(spark):
+    for kind, slide in (("tumble", None), ("hop", 500), ("session", None)):
+        assert rows(window_aggregate(frame(spark), shape(kind, 1000, slide))) == []
+    assert watermark_ms(frame(spark), "t", 5) is None
+
+
+def test_native_refuses_sessions(spark):
+    with pytest.raises(BindError):
+        stream_windows(frame(spark), shape("session"), 0)
+
+
+def test_hop_repeats_panes_not_rows(spark):
+    plan = window_aggregate(frame(spark, (1, 1, 1)), shape("hop", 10_000, 1_000))._jdf.queryExecution().executedPlan().toString()
+    at = plan.index("Generate")
+    assert "HashAggregate" in plan[at:], "rows are combined into panes below the repetition"
