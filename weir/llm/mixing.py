@@ -168,20 +168,23 @@ def repeat(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id") -> Data
     """The rows of ``docs`` as often as ``mixed`` (of the same table) says.
 
     Rows that share an id are told apart by nothing else that ``mixed`` has, so
-    their copies are dealt to them in the order of their contents.
+    their copies are dealt to them in the order of their contents. The counts grow
+    with the rows, so they are not broadcast, however few they are.
     """
-    count = materialize(mixed.select(F.col(id_col).alias("__id"), "source", "size", "copies"), "copies")
-    often = materialize(count.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1 or __id is null").select("__id"), "repeated_ids")
+    count = materialize(mixed.select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("copies").alias("__copies")), "copies")
+    often = materialize(count.groupBy("__id").agg(F.count("*").alias("__n")).where("__n > 1 or __id is null").select("__id"), "repeated_ids")
     cols = docs.columns
     own = docs.select(*cols, F.col(id_col).alias("__own"))
+    same, one = F.col("__own").eqNullSafe(F.col("__id")), F.col("__own") == F.col("__id")
+    given = count.select("__id", "__copies").hint("merge")
+    again = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__k")
     if often.isEmpty():
-        plain = own.join(count.select("__id", "copies"), F.col("__own") == F.col("__id"))
-        return plain.where("copies > 0").select(*cols, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__k")).select(*cols)
-    same = F.col("__own").eqNullSafe(F.col("__id"))
-    single = own.join(often, same, "left_anti").join(count.select("__id", "copies"), F.col("__own") == F.col("__id"))
-    twice = own.join(often, same, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__own").orderBy(*[F.xxhash64(c) for c in cols])))
-    given = count.join(often.withColumnRenamed("__id", "__again"), F.col("__id").eqNullSafe(F.col("__again")), "left_semi")
-    given = given.withColumn("__m", F.row_number().over(Window.partitionBy("__id").orderBy("source", "size", "copies")))
-    twice = twice.join(given, same & (F.col("__n") == F.col("__m")))
-    both = single.select(*cols, "copies").unionByName(twice.select(*cols, "copies"))
-    return both.where("copies > 0").select(*cols, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__k")).select(*cols)
+        return own.join(given, one).where("__copies > 0").select(*cols, again).select(*cols)
+    single = own.join(often, same, "left_anti").join(given, one)
+    order = Window.partitionBy("__own").orderBy(*[F.xxhash64(F.col(c)) for c in cols])
+    twice = own.join(often, same, "left_semi").withColumn("__place", F.row_number().over(order))
+    dealt = count.join(often.withColumnRenamed("__id", "__other"), F.col("__id").eqNullSafe(F.col("__other")), "left_semi")
+    dealt = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__id").orderBy("__size", "__copies")))
+    twice = twice.join(dealt, same & (F.col("__place") == F.col("__at")))
+    both = single.select(*cols, "__copies").unionByName(twice.select(*cols, "__copies"))
+    return both.where("__copies > 0").select(*cols, again).select(*cols)

@@ -239,7 +239,7 @@ def keep_one(docs: DataFrame, *, words: int = 4, id_col: str = "doc_id", text_co
     counts = found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__rows"))
     plain = materialize(once.join(counts, "__id").where("__rows = 1").select("__id"), "kept_plain")
     cols = docs.columns
-    simple = docs.join(plain, docs[id_col] == plain["__id"], "left_semi")
+    simple = docs.join(plain.hint("merge"), docs[id_col] == plain["__id"], "left_semi")  # ids grow with the rows: no broadcast
     # ids that several rows carry (or none): told apart by their fingerprint, then reduced to one row
     odd = materialize(kept.join(plain, "__id", "left_anti"), "kept_odd")
     if odd.isEmpty():
