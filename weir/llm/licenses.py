@@ -147,6 +147,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, coverage:
     """
     known = {k: template_words(v) for k, v in (TEMPLATES if templates is None else templates).items()}
     known = {k: v for k, v in known.items() if len(v)}
+    if not known:
+        known = {"none": np.zeros(1, np.uint64)}  # no text holds it
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *known.values()]))
     in_template = np.array([np.isin(vocabulary, v) for v in known.values()]).reshape(len(known), -1).T  # words x templates
     need = np.array([max(1, int(np.ceil(coverage * len(v)))) for v in known.values()])

@@ -24,8 +24,8 @@ from .common import Batches, arrow_map, materialize, scratch
 TILE, QUERIES_AT_ONCE, GROUPS = 2048, 1024, 16
 
 
-def _whole(flat: np.ndarray, width: int, scale: float) -> np.ndarray:
-    return np.floor(flat.astype(np.float64) * scale).reshape(-1, width)
+def _whole(matrix: np.ndarray, scale: float) -> np.ndarray:
+    return np.floor(matrix.astype(np.float64) * scale)
 
 
 def _by_width(vectors: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -81,12 +81,12 @@ def _search(block, k: int, scale: float):
     def run(batches: Batches) -> Batches:
         groups: dict[int, list[_Best]] = {}
         for ids, matrix in block.value:
-            whole = _whole(matrix, matrix.shape[1], scale)
+            whole = _whole(matrix, scale)
             groups[matrix.shape[1]] = [_Best(ids[i : i + QUERIES_AT_ONCE], whole[i : i + QUERIES_AT_ONCE], k) for i in range(0, len(ids), QUERIES_AT_ONCE)]
         for batch in batches:
             own = batch.column(0).to_numpy()
             for rows, matrix in _by_width(batch.column(1)):
-                whole = _whole(matrix, matrix.shape[1], scale)
+                whole = _whole(matrix, scale)
                 for i in range(0, len(rows), TILE):
                     for best in groups.get(matrix.shape[1], ()):
                         best.add(own[rows[i : i + TILE]], whole[i : i + TILE])
@@ -133,7 +133,7 @@ def search(
 
 def _grouped(rows: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     ids, width = rows["id"].to_numpy(np.int64), rows["v"].map(len).to_numpy(np.int64)
-    return [(ids[width == w], np.array(rows["v"][width == w].tolist(), np.float64).reshape(-1, w)) for w in np.unique(width).tolist()]
+    return [(ids[width == w], np.array(rows["v"][width == w].tolist(), np.float64).reshape(int((width == w).sum()), w)) for w in np.unique(width).tolist()]
 
 
 def _best(lists: DataFrame, k: int, *by: str) -> DataFrame:
