@@ -1,0 +1,149 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from weir.llm import language, quality
+from weir.llm.queries import op4_quality_classifier, op6_language_id
+from weir.llm.runs import pieces, tokens
+
+SF = "/root/testdata/sf0.01"
+
+
+def auc(score, label):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    good = label == 1
+    return (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+
+
+def test_quality_of_held_out_rows(spark):
+    found = op4_quality_classifier(spark, SF).toPandas()
+    labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
+    assert len(found) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert (found.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in found.doc_id]).all()
+    assert found.score.between(0, 1).all() and (found.predicted == (found.score >= 0.3)).all()
+    held = found[found.held_out].merge(labels, on="doc_id")
+    assert auc(held.score.to_numpy(), held.quality.to_numpy()) > 0.97
+    assert (held.predicted == held.quality).mean() > 0.95
+
+
+def test_held_out_labels_teach_nothing(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    other = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    a = {r["doc_id"]: r["score"] for r in quality.score(docs, labels).collect()}
+    b = {r["doc_id"]: r["score"] for r in quality.score(docs.repartition(3), other).collect()}
+    assert a == b  # nor does it matter how the rows are dealt
+
+
+def test_quality_of_odd_rows(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(1, 1, None), (3, None, 0), (None, 1, 0), (99, 0, 0), (6, 0, 1), (6, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.score(odd_docs, labels).collect()
+    assert len(rows) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert quality.score(no_docs, labels).collect() == []
+    assert {r["score"] for r in quality.score(odd_docs, labels.limit(0)).collect()} == {0.5}
+    assert quality.keep(odd_docs, labels.limit(0)).collect() == odd_docs.collect()
+    assert quality.keep(odd_docs, labels, threshold=2.0).collect() == []
+
+
+def test_network_learns_and_is_calibrated():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(6000, 4))
+    y = (rng.random(6000) < 1 / (1 + np.exp(-3 * x[:, 0] * x[:, 1]))).astype(float)  # no line parts these
+    net = quality.fit(x[:5000], y[:5000])
+    p = net.score(x[5000:])
+    assert auc(p, y[5000:]) > 0.75
+    assert abs(p.mean() - y[5000:].mean()) < 0.06
+    assert net.temperature > 0.5
+
+
+def test_tokens():
+    raw = np.frombuffer("The the, The!! über-1 1".encode(), np.uint8)
+    text, h = tokens(raw, np.array([0, 9, 9, len(raw)]))
+    assert text.tolist() == [0, 0, 0, 2, 2, 2, 2, 2, 2]  # The the , / The !! über - 1 1
+    assert h[0] == h[3] and h[0] != h[1] and h[7] == h[8]
+
+
+def test_long_texts_come_in_pieces():
+    import pyarrow as pa
+
+    text = "ab cd " * 1000 + "ü" * 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", text, None])], names=["text"])
+    got = {}
+    for rows, parts in pieces(iter([batch]), "text", 1000):
+        for index, raw, off in parts:
+            assert len(raw) <= 1000
+            for i, s, e in zip(index.tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+                key = (rows.column(0)[i].as_py() or "")[:1]
+                got[key] = got.get(key, "") + raw[s:e].tobytes().decode()
+    assert got.pop("", "") == "" and got == {"x": "x", "a": text}
+
+
+def test_language_of_held_out_rows(spark):
+    found = op6_language_id(spark, SF).toPandas()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+    assert sorted(found.doc_id) == sorted(docs.doc_id)
+    assert (found.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in found.doc_id]).all()
+    held = found[found.held_out].merge(docs, on="doc_id")
+    assert (held.lang_pred == held.lang).mean() > 0.98
+    assert found.score.between(0, 1).all()
+
+
+def test_language_of_odd_rows(spark, odd_docs, no_docs):
+    rows = language.identify(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    by = {r["doc_id"]: r for r in rows}
+    for i in (3, 4, 5):
+        assert (by[i]["lang_pred"], by[i]["score"]) == ("und", 0.0)
+    assert by[7]["lang_pred"] in ("en", "de") and by[6]["lang_pred"] in ("en", "de")
+    assert language.identify(no_docs).collect() == []
+    unknown = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in language.identify(unknown).collect()} == {"und"}
+    assert language.keep(no_docs).collect() == []
+    kept = {r["doc_id"] for r in language.keep(odd_docs).collect()}
+    assert not kept & {3, 4, 5}
+
+
+def slow_trigrams(text):
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    out = []
+    for w in low.split(" "):
+        if w:
+            padded = f"\0{w}\0"
+            out += [padded[i : i + 3] for i in range(len(padded) - 2)]
+    return out
+
+
+def test_trigrams():
+    texts = ["Hello, World", "", "a", "1 2", "Straße İx", "日本 語", "x  y", "tail "]
+    raw = "".join(texts).encode()
+    off = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    text, gram, has = language.trigrams(np.frombuffer(raw, np.uint8), off)
+    got = [[] for _ in texts]
+    for t, g in zip(text.tolist(), gram.tolist(), strict=True):
+        got[t].append("".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0)))
+    assert got == [slow_trigrams(t) for t in texts]
+    assert has.tolist() == [any(map(str.isalpha, t)) for t in texts]
+
+
+def test_filters_hold_all_and_little_more():
+    rng = np.random.default_rng(1)
+    names = [f"l{i:02d}" for i in range(70)]  # more languages than a word has bits
+    gram = np.unique(rng.integers(0, 2**62, 20_000)).astype(np.uint64)
+    lang = rng.integers(0, 70, len(gram))
+    f = language.Filters(names, lang, gram)
+    masks = f.masks(gram)
+    assert all(int(masks[i, k // 64]) >> (k % 64) & 1 for i, k in enumerate(lang.tolist()))
+    other = rng.integers(0, 2**62, 20_000).astype(np.uint64)
+    hits = f.hits(np.zeros(len(other), np.int64), other, 1)[0] / len(other)
+    assert np.allclose(hits, f.by_chance, atol=0.01)
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_tiny_training(n):
+    net = quality.fit(np.zeros((n, quality.FEATURES)), np.ones(n))
+    assert net.score(np.zeros((2, quality.FEATURES))).shape == (2,)

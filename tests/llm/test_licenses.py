@@ -1,0 +1,72 @@
+from __future__ import annotations
+
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from weir.llm import licenses
+from weir.llm.queries import op8_license_scan
+
+NOTICES = {k: v for k, v in licenses.TEMPLATES.items() if k.endswith("notice")}
+
+
+def scan(spark, *texts, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r["doc_id"], r["license"]): r for r in licenses.scan(df, **options).collect()}
+
+
+def test_whole_table(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {(r["doc_id"], r["license"]) for r in op8_license_scan(spark, sf_dir).collect()}
+    want = {(i, k) for i, t in docs.items() for k, v in NOTICES.items() if v in t}
+    assert want <= got and want
+    assert all(i in {j for j, _ in want} for i, _ in got)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 12), max_size=25), st.lists(st.integers(0, 12), max_size=25))
+def test_alignment_is_in_order_and_equal(a, b):
+    pairs = licenses.align(a, b)
+    assert all(a[i] == b[j] for i, j in pairs)
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+
+
+def test_alignment_recurses_into_gaps():
+    a, b = list("xAyAzB"), list("xAyAzB")
+    assert len(licenses.align(a, b)) == 6  # A stands twice, and once in each gap
+    assert licenses.align(list("abc"), list("bac")) in ([(0, 1), (2, 2)], [(1, 0), (2, 2)])
+    assert licenses.align([], list("a")) == []
+
+
+def test_full_text_with_changes(spark):
+    rng = random.Random(1)
+    filler = " ".join(rng.choice(["lorem", "the", "of", "and", "software", "ipsum"]) for _ in range(3000))
+    mit = licenses.TEMPLATES["MIT"].split()
+    changed = [w.upper() if i % 7 else "changed" if i % 21 == 0 else w for i, w in enumerate(mit)]
+    got = scan(spark, f"{filler} {' '.join(changed)} {filler}", filler, " ".join(mit[:80]))
+    assert set(got) == {(0, "MIT")}
+    r = got[0, "MIT"]
+    assert 0.85 < r["coverage"] < 1 and r["first_word"] in range(3000, 3004) and r["places"] >= 1
+
+
+def test_repeated_notice(spark):
+    text = NOTICES["MIT-notice"]
+    got = scan(spark, f"{text} {text}", f"{text}\n" * 50, f"words before. {text} words behind.")
+    assert {k for k in got if k[1] == "MIT-notice"} == {(i, "MIT-notice") for i in range(3)}
+    assert got[2, "MIT-notice"]["first_word"] == 2 and got[2, "MIT-notice"]["end_word"] == 7
+
+
+def test_scattered_words_are_no_license(spark):
+    assert scan(spark, " ".join(f"{w} {'filler ' * 40}" for w in NOTICES["Apache-2.0-notice"].split())) == {}
+
+
+def test_own_templates(spark):
+    got = scan(spark, "We grant you nothing at all", templates={"mine": "we GRANT you nothing, at all!", "empty": "..."})
+    assert [(k, r["coverage"]) for k, r in got.items()] == [((0, "mine"), 1.0)]
+    assert scan(spark, "text", templates={}) == {}
+
+
+def test_odd_rows(odd_docs, no_docs):
+    assert licenses.scan(odd_docs).collect() == []
+    assert licenses.scan(no_docs).columns == ["doc_id", "license", "coverage", "first_word", "end_word", "places"]

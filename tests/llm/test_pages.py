@@ -1,0 +1,91 @@
+from __future__ import annotations
+
+import html
+import re
+
+from weir.llm import pages
+from weir.llm.queries import op9_html_extraction
+
+
+def article(page):
+    inner = page[page.index("<article>") + 9 :].split("</article>")[0]
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+
+
+def test_whole_table(spark, sf_dir):
+    source = {r["page_id"]: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    rows = op9_html_extraction(spark, sf_dir).collect()
+    assert sorted(r["page_id"] for r in rows) == sorted(source)
+    for r in rows:
+        assert r["url"] == source[r["page_id"]]["url"]
+        assert r["text"] == article(source[r["page_id"]]["html"])
+        assert r["n_chars"] == len(r["text"])
+
+
+def test_the_join_gives_what_the_broadcast_gives(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    take = lambda b: sorted(tuple(r) for r in pages.extract(df, bound=b).collect())
+    assert take(8_000_000) == take(-1)
+
+
+def run(spark, *rows):
+    df = spark.createDataFrame(list(rows), "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in pages.extract(df).collect()}
+
+
+def text_of(page):
+    return pages.main_text(page, 0, frozenset())
+
+
+def test_divs_without_names(spark):
+    """No element says what it is: the host's pages do."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    page = lambda i: f"<html><body><div class='x1'>Home <a href=/>Start</a></div><div class='x2'><div class='x3'><p>{words[i]} story {i} begins here and goes on for a while {'more ' * 20}</p><p>{words[-i]} ends</p></div></div><div class='x4'><p>All rights {words[i]}</p></div></body></html>"
+    got = run(spark, *[(i, "https://h.example/a", page(i)) for i in range(6)])
+    for i in range(6):
+        assert got[i] == f"{words[i]} story {i} begins here and goes on for a while {'more ' * 20}".strip() + f" {words[-i]} ends"
+
+
+def test_text_of_the_template_goes(spark):
+    page = lambda i: f"<body><article><p>Story number {i} with its own words {'x' * i} and many more of them.</p><p>Read this and other stories in our shop.</p></article></body>"
+    got = run(spark, *[(i, "http://one.example/", page(i)) for i in range(12)], (50, "http://two.example/", page(50)))
+    assert all("shop" not in got[i] for i in range(12))
+    assert got[50].endswith("in our shop.")  # one page says nothing about its host
+
+
+def test_parts_that_are_no_article():
+    page = """<!doctype html><head><title>T</title><style>p{}</style></head><body>
+    <header><h2>Site</h2></header><nav><ul><li>Menu</ul></nav><div id="cookie-notice">Cookies!</div>
+    <main><h1>Title &amp; more</h1><p>First&nbsp;<b>bold</b> and <a href="x>y">link</a>.<p>Second<br>line <!-- <p>no</p> -->
+    <script>if (a < b) document.write("<p>x</p>")</script><aside>Aside</aside><form><p>Mail</p><input value="v"></form>
+    <ul><li>One<li>Two &#x41;&lt;b&gt;</ul><table><tr><td>c1<td>c2</table><pre>  keep   spaces </pre>
+    <div class="ad banner">Buy</div><div class="shadow road">Kept</div><footer>Foot</footer></main>
+    <section class="comments"><p>Nice!</p></section><div role="contentinfo">Info</div><div hidden>H</div><footer>&copy; Me</footer>"""
+    assert text_of(page) == "Title & more First bold and link. Second line One Two A<b> c1 c2 keep spaces Kept"
+
+
+def test_broken_pages():
+    assert text_of("") == "" and text_of("plain text &am &amp") == "plain text &am &"
+    assert text_of("<p>a<p>b</div></p>c<") == "a b c<"
+    assert text_of("<p>a <b unclosed") == "a"
+    assert text_of("<script>never closed <p>x</p>") == ""
+    assert text_of("<!-- never closed <p>x</p>") == ""
+    assert text_of("a < b and b > c <3") == "a < b and b > c <3"
+    assert text_of("<P CLASS='Ad'>x</P><DIV>y</DIV>") == "y"
+    assert text_of("<p title='a > b'>x</p>") == "x"
+    assert len(text_of("<div>" * 3000 + "deep" + "</div>" * 3000)) == 4
+
+
+def test_odd_rows(spark):
+    same = "<body><article><p>hello there</p></article></body>"
+    got = run(spark, (1, None, same), (2, "no host", same), (3, "http://x.example", None), (4, "http://x.example", ""), (None, "http://x.example", same), (5, "HTTP://User@X.Example:80/p", same), (5, "HTTP://User@X.Example:80/p", same))
+    assert got[1] == got[2] == got[5] == got[None] == "hello there" and got[3] == got[4] == ""
+    df = spark.createDataFrame([], "page_id long, url string, html string, host string, slot string")
+    assert pages.extract(df).collect() == [] and pages.extract(df).columns == ["page_id", "url", "text"]
+    assert run(spark, (1, "u", "<p>" + "word " * 200_000 + "</p>"))[1].count("word") == 200_000
+
+
+def test_template_of_a_host(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id AS id", "url", "html")
+    found = pages.templates(df).collect()
+    assert len({r["slot"] for r in found}) == 1 and found[0]["slot"] != 0
