@@ -27,6 +27,7 @@ from ..plans.sqlfront import table_select
 from ..sources import avro, queues, topics
 from ..sources.decode import decode_json, encode_json
 from ..sources.files import Files
+from ..sources.registry import Registry
 from ..sources.tables import KeyedTable
 from .metrics import Metrics
 from .strict import PARTITION, StrictWindow
@@ -40,8 +41,21 @@ class Runner:
         self.config, self.metrics = pipeline.config, metrics or Metrics(pipeline.config.pipeline.name)
         self.avro_schemas, self.convert_to = avro_schemas or {}, convert_to or {}
         self.writer = f"{self.config.pipeline.name}-v{self.config.pipeline.version}"
+        self.client_options: dict[str, str] = {}  # besides region and endpoint
+        self._schema_id: int | None = None
+        self._checked: int | None = None
         self.now: Callable[[], int] = lambda: int(time.time() * 1000)
 
+    @property
+    def folder(self) -> str | None:
+        """The root of folder topics."""
+        return topics.folder_of(self.config.connectors.redpanda.brokers) if self.config.connectors.redpanda else None
+
+    @property
+    def registry_url(self) -> str | None:
+        r = self.config.connectors.schema_registry
+        return r.url if r else None
+
     # --- ends ----------------------------------------------------------------
 
     def table_path(self, name: str) -> str:
@@ -55,11 +69,15 @@ class Runner:
         """Columns of an input's messages, and its partition."""
         keep = raw.select(F.col("partition").alias(PARTITION), "value")
         if i.format == "avro":
-            schema = self.avro_schemas.get(i.name)
+            wrapped = not i.avro_schema  # a schema from a file: bare datums
+            schema, url = self.avro_schemas.get(i.name), self.registry_url if wrapped else None
+            if schema is None and url is not None:
+                found = Registry(url).latest(i.topic)
+                schema = found[1] if found else None
             if schema is None:
                 raise ConfigError(f"input '{i.name}' needs its Avro schema")
-            wrapped = not i.avro_schema
-            rows = keep.select(PARTITION, avro.decode_column(F.col("value"), schema, wrapped=wrapped).alias("r")).select(PARTITION, "r.*")
+            value = F.unbase64(F.col("value").cast("string")) if i.kind == "topic" and self.folder is not None else F.col("value")
+            rows = keep.select(PARTITION, avro.decode_column(value, schema, wrapped=wrapped, registry=url).alias("r")).select(PARTITION, "r.*")
         else:
             rows = decode_json(keep, self.pipeline.schemas[i.name], keep=(PARTITION,))
         if i.convert_to:
@@ -86,8 +104,10 @@ class Runner:
         if out.kind == "table":
             done = self.output_table().commit(rows, writer=self.writer, identifier=number, progress=progress)
         elif out.kind == "topic":
-            root = topics.folder_of(self.config.connectors.redpanda.brokers)
+            root = self.folder
             messages = self.messages(rows)
+            if root is not None and self.config.output.format == "avro":
+                messages = messages.withColumn("value", F.base64("value"))  # lines of text
             if root is not None:
                 # a marker a batch: one that was written is not written again
                 files, marker = Files(self.spark), f"{root}/{out.topic}-written/{self.writer}-{number}.json"
@@ -96,7 +116,7 @@ class Runner:
                 done = messages.write.format("kafka").option("kafka.bootstrap.servers", ",".join(self.config.connectors.redpanda.brokers)).option("topic", out.topic).save()
         else:
             service, own = out.kind, getattr(self.config.connectors, out.kind)
-            options = {"region": own.region, "endpoint": own.endpoint, "stream" if service == "kinesis" else "queue": getattr(out, service)} | getattr(self, "client_options", {})
+            options = {"region": own.region, "endpoint": own.endpoint, "stream" if service == "kinesis" else "queue": getattr(out, service)} | self.client_options
             messages = self.messages(rows)
             send = queues.QueueWriter(service, options)
             messages.select("key", "value").foreachPartition(lambda part: send.write(part) and None)
@@ -110,8 +130,10 @@ class Runner:
         if self.config.output.format == "avro":
             key = self.config.output.key
             schema = avro.avro_schema(rows.schema)
+            if self._schema_id is None:
+                self._schema_id = Registry(self.registry_url).register(self.config.output.topic, schema)
             own = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"the key '{key}' is null")).cast("string")).otherwise(F.col(key).cast("string"))
-            return rows.select(own.alias("key"), F.base64(avro.encode_column(rows.columns, schema, number=getattr(self, "schema_id", 1))).alias("value"))
+            return rows.select(own.alias("key"), avro.encode_column(rows.columns, schema, number=self._schema_id).alias("value"))
         return encode_json(rows, self.config.output.key)
 
     # --- streams -------------------------------------------------------------
@@ -160,7 +182,7 @@ class Runner:
         table = KeyedTable(self.spark, self.table_path(d.table))
         number = table.latest_id()
         dimension = table.read(number)
-        if getattr(self, "_checked", None) != number:  # once a snapshot
+        if self._checked != number:  # once a snapshot
             check_dimension(dimension, d.key, d.name)
             self._checked = number
         frames = {d.name: dimension, self.config.inputs[0].name: rows}
