@@ -15,10 +15,13 @@ chunk and those of the whole text agree exactly, and only what lies between such
 places, the chunk's body, is shared. A chunk without such a place joins the
 window whole.
 
+A text that several rows have is encoded by one of them, and the others take its
+ids: its rows never meet, however many they are.
+
 Sizes: hashes of chunks are shuffled, not chunks. The one text that encodes a
 shared chunk finds it by a Bloom filter of 8 MB at most, in place. Only texts
-that hold shared chunks are shuffled, once, to meet their ids; all others are
-encoded where they are read.
+that hold chunks of other texts are shuffled, once, to meet their ids; all others
+are encoded where they are read.
 """
 
 from __future__ import annotations
@@ -228,8 +231,12 @@ class _Slice:
             self.owner, self.begin, self.end = bodies(raw, self.off)
             both = np.array([_hash128(self.raw[s:e]) for s, e in zip(self.begin.tolist(), self.end.tolist(), strict=True)], np.uint64).reshape(-1, 2)
             self.h1, self.h2 = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
-            key = np.array([hash_id(i) for i in self.ids.to_pylist()], np.uint64)
-            self.occurrence = _mix(self.t1[self.owner], key[self.owner], self.begin - self.off[self.owner])
+            key = self.row_keys()
+            self.occurrence = _mix(key[self.owner], self.begin - self.off[self.owner])
+
+    def row_keys(self) -> np.ndarray:
+        """A hash of text and id. Only whole repetitions of a row share it."""
+        return _mix(self.t1, self.t2, np.array([hash_id(i) for i in self.ids.to_pylist()], np.uint64))
 
 
 def hash_id(value: object) -> int:
@@ -241,12 +248,12 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _scan(batches: Batches) -> Batches:
-    """A row for each text: its hash, and hash and occurrence of each body."""
+    """A row for each text: id, its hash and its row's, hash and occurrence of each body."""
     for batch in small_slices(batches, "text", SLICE):
         s = _Slice(batch)
         at = pa.array(np.searchsorted(s.owner, np.arange(s.n + 1)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(at, _long(x)) for x in (s.h1, s.h2, s.occurrence)]
-        yield pa.RecordBatch.from_arrays([_long(s.t1), _long(s.t2), *lists], names=["t1", "t2", "h1", "h2", "o"])
+        yield pa.RecordBatch.from_arrays([s.ids, _long(s.t1), _long(s.t2), _long(s.row_keys()), *lists], names=["id", "t1", "t2", "k", "h1", "h2", "o"])
 
 
 def _pack(ids: np.ndarray, width: int) -> bytes:
@@ -267,40 +274,94 @@ def _encode_bodies(file, wanted) -> Callable[[Batches], Batches]:
     return run
 
 
-def _ids_column(ids: list[np.ndarray]) -> pa.Array:
-    off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    flat = np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
+class Routes:
+    """How texts are encoded: Bloom filters of hashes, so every scan of the texts decides alike.
+
+    ``repeated``: texts that several rows have. ``leading``: the row keys (one for
+    each repeated text, and a few by chance) that encode them. ``shared``: texts
+    that hold shared chunks. None: no text is such a one.
+    """
+
+    def __init__(self, repeated=None, leading=None, shared=None):
+        self.repeated, self.leading, self.shared = repeated, leading, shared
+
+    def is_repeated(self, t1: np.ndarray, t2: np.ndarray) -> np.ndarray:
+        return bloom.holds(self.repeated, t1 ^ t2) if self.repeated is not None else np.zeros(len(t1), bool)
+
+    def is_shared(self, t1: np.ndarray, t2: np.ndarray) -> np.ndarray:
+        return bloom.holds(self.shared, t1 ^ t2) if self.shared is not None else np.zeros(len(t1), bool)
+
+    def of(self, s: _Slice, seen: set, repeated: bool, shared: bool) -> np.ndarray:
+        """The rows to encode of texts that are (or are not) repeated, and hold shared chunks (or don't).
+
+        ``seen`` keeps the repeated texts that the task has met, so repetitions that stand together count once.
+        """
+        mine = (self.is_repeated(s.t1, s.t2) == repeated) & (self.is_shared(s.t1, s.t2) == shared)
+        if repeated and mine.any():
+            mine &= bloom.holds(self.leading, s.row_keys())
+            for i in np.flatnonzero(mine).tolist():
+                key = (int(s.t1[i]), int(s.t2[i]))
+                mine[i] = key not in seen
+                seen.add(key)
+                if len(seen) > 100_000:
+                    seen.clear()
+        return np.flatnonzero(mine)
+
+
+def _repeated_rows(routes) -> Callable[[Batches], Batches]:
+    """Of rows (id, t1, t2, k) those whose text is taken for a repeated one."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            t1, t2 = (batch.column(i).to_numpy().view(np.uint64) for i in (1, 2))
+            yield batch.filter(pa.array(routes.value.is_repeated(t1, t2)))
+
+    return run
 
 
-def _encode_alone(file, routed) -> Callable[[Batches], Batches]:
+def _encode_alone(file, routes, repeated: bool) -> Callable[[Batches], Batches]:
     """Encode the texts that hold no shared chunk."""
 
     def run(batches: Batches) -> Batches:
-        codec = _codec(file)
+        codec, seen = _codec(file), set()
         for batch in small_slices(batches, "text", SLICE):
             s = _Slice(batch, with_bodies=False)
-            mine = np.flatnonzero(~bloom.holds(routed.value, s.t1 ^ s.t2)) if routed else np.arange(s.n)
-            ids = [codec.encode(s.raw[s.off[i] : s.off[i + 1]].decode()) for i in mine.tolist()]
-            yield pa.RecordBatch.from_arrays([s.ids.take(pa.array(mine)), _ids_column(ids)], names=["id", "ids"])
+            rows = routes.value.of(s, seen, repeated, False)
+            yield _coded(s, rows, repeated, [codec.encode(s.raw[s.off[i] : s.off[i + 1]].decode()) for i in rows.tolist()], codec.width)
 
     return run
 
 
-def _route(routed) -> Callable[[Batches], Batches]:
-    """The other texts, with their hash."""
+def _coded(s: _Slice, rows: np.ndarray, repeated: bool, ids: list[np.ndarray], width: int) -> pa.RecordBatch:
+    """(id, ids) of single rows, or (text's hash, packed ids) of repeated texts."""
+    at = pa.array(rows)
+    if not repeated:
+        return pa.RecordBatch.from_arrays([s.ids.take(at), _ids_column(ids)], names=["id", "ids"])
+    packed = pa.array([_pack(x, width) for x in ids], pa.binary())
+    return pa.RecordBatch.from_arrays([_long(s.t1).take(at), _long(s.t2).take(at), packed], names=["t1", "t2", "packed"])
+
+
+def _ids_column(ids: list[np.ndarray]) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
+
+
+def _route(routes, repeated: bool) -> Callable[[Batches], Batches]:
+    """The texts that hold shared chunks, a repeated one once."""
 
     def run(batches: Batches) -> Batches:
+        seen: set = set()
         for batch in small_slices(batches, "text", SLICE):
             s = _Slice(batch, with_bodies=False)
-            mine = pa.array(np.flatnonzero(bloom.holds(routed.value, s.t1 ^ s.t2)))
+            mine = pa.array(routes.value.of(s, seen, repeated, True))
             text = batch.column(1).fill_null("").take(mine)
             yield pa.RecordBatch.from_arrays([s.ids.take(mine), _long(s.t1).take(mine), _long(s.t2).take(mine), text], names=["id", "t1", "t2", "text"])
 
     return run
 
 
-def _assemble(file) -> Callable[[Batches], Batches]:
+def _assemble(file, repeated: bool) -> Callable[[Batches], Batches]:
     """Ids of texts from those of their shared bodies and new ones for all between."""
 
     def run(batches: Batches) -> Batches:
@@ -322,7 +383,18 @@ def _assemble(file) -> Callable[[Batches], Batches]:
                 if s.off[d + 1] > done:
                     parts.append(codec.encode(s.raw[done : s.off[d + 1]].decode()))
                 out.append(np.concatenate([np.zeros(0, np.uint32), *parts]))
-            yield pa.RecordBatch.from_arrays([s.ids, _ids_column(out)], names=["id", "ids"])
+            yield _coded(s, np.arange(s.n), repeated, out, codec.width)
+
+    return run
+
+
+def _unpack(width: int) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                ids = [np.frombuffer(x, f"<u{width}").astype(np.uint32) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), _ids_column(ids)], names=["id", "ids"])
 
     return run
 
@@ -336,32 +408,43 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
     columns are ignored. One row's text has to fit in memory.
     """
     spark = docs.sparkSession
+    send = spark.sparkContext.broadcast
     codec = load(vocabulary)
-    file = spark.sparkContext.broadcast(codec)  # a vocabulary, a few MB
+    file = send(codec)  # a vocabulary, a few MB
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(texts.dtypes)["id"]
+    one_row, one_text = f"id {kind}, ids array<int>", "t1 long, t2 long, packed binary"
     if not codec.breaks:  # no place is known where a join is exact: every text as a whole
-        return arrow_map(texts, _encode_alone(file, None), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
-
-    rows = materialize(
-        arrow_map(texts, _scan, "t1 long, t2 long, h1 array<long>, h2 array<long>, o array<long>"), "chunk_hashes"
-    )
-    each = rows.select("t1", "t2", F.posexplode(F.arrays_zip("h1", "h2", "o")).alias("p", "x")).select("t1", "t2", "p", "x.h1", "x.h2", "x.o")
-    chunks = each.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("o").alias("o")).where("n > 1")
+        return arrow_map(texts, _encode_alone(file, send(Routes()), False), one_row).withColumnRenamed("id", id_col)
+
+    rows = materialize(arrow_map(texts, _scan, f"id {kind}, t1 long, t2 long, k long, h1 array<long>, h2 array<long>, o array<long>"), "chunk_hashes")
+    # texts that several rows have: one row encodes, the others take its ids
+    several = rows.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("t1").bitwiseXOR(F.col("t2")).alias("t"))
+    routes = Routes(repeated=bloom.build(materialize(several, "repeated_texts"), "t"))
+    narrow = materialize(arrow_map(rows.select("id", "t1", "t2", "k"), _repeated_rows(send(routes)), f"id {kind}, t1 long, t2 long, k long"), "rows_of_repeated_texts")
+    routes.leading = bloom.build(narrow.groupBy("t1", "t2").agg(F.min("k").alias("k")), "k")
+    # chunks that several texts have, or one several times
+    each = rows.select("t1", "t2", F.posexplode(F.arrays_zip("h1", "h2", "o")).alias("p", "x"))
+    bodies_ = materialize(each.groupBy("t1", "t2", "p", "x.h1", "x.h2").agg(F.min("x.o").alias("o")), "bodies")
+    chunks = bodies_.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("o").alias("o")).where("n > 1")
     chunks = materialize(chunks.select("h1", "h2", "o"), "shared_chunks")
-    wanted = spark.sparkContext.broadcast(bloom.build(chunks, "o"))
+    wanted = send(bloom.build(chunks, "o"))
     encoded = materialize(arrow_map(texts, _encode_bodies(file, wanted), "h1 long, h2 long, ids binary"), "encoded_chunks")
     # of chunks that a false positive encoded besides, nothing asks for
-    uses = each.groupBy("t1", "t2", "p", "h1", "h2").agg(F.count("*").alias("n"))
-    uses = materialize(uses.join(chunks.select("h1", "h2"), ["h1", "h2"]).select("t1", "t2", "p", "h1", "h2"), "uses")
-    named = uses.select("t1", "t2").distinct().select(F.col("t1").bitwiseXOR(F.col("t2")).alias("t"))
-    routed = spark.sparkContext.broadcast(bloom.build(named, "t"))
-    pieces = uses.join(encoded, ["h1", "h2"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("p", "ids")).alias("pieces"))
-    pieces = materialize(pieces, "pieces")  # so that the join below is one of two tables, whose large partitions AQE can split
-    moved = arrow_map(texts, _route(routed), f"id {kind}, t1 long, t2 long, text string")
-    joined = moved.join(pieces.hint("merge"), ["t1", "t2"], "left").select("id", "text", "pieces")
-    alone = arrow_map(texts, _encode_alone(file, routed), f"id {kind}, ids array<int>")
-    both = alone.unionByName(arrow_map(joined, _assemble(file), f"id {kind}, ids array<int>"))
+    uses = materialize(bodies_.join(chunks.select("h1", "h2"), ["h1", "h2"]).select("t1", "t2", "p", "h1", "h2"), "uses")
+    routes.shared = bloom.build(uses.select("t1", "t2").distinct().select(F.col("t1").bitwiseXOR(F.col("t2")).alias("t")), "t")
+    way = send(routes)
+
+    def coded(repeated: bool, schema: str) -> DataFrame:
+        own = uses.join(narrow.select("t1", "t2").hint("merge"), ["t1", "t2"], "left_semi" if repeated else "left_anti")
+        pieces = own.join(encoded.hint("merge"), ["h1", "h2"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("p", "ids")).alias("pieces"))
+        routed = arrow_map(texts, _route(way, repeated), f"id {kind}, t1 long, t2 long, text string")
+        joined = routed.join(pieces.hint("merge"), ["t1", "t2"], "left").select("id", "text", "pieces")
+        return arrow_map(texts, _encode_alone(file, way, repeated), schema).unionByName(arrow_map(joined, _assemble(file, repeated), schema))
+
+    once = coded(True, one_text).groupBy("t1", "t2").agg(F.max("packed").alias("packed"))  # two rows that encoded a text have equal ids
+    again = narrow.select("id", "t1", "t2").join(materialize(once, "repeated_ids").hint("merge"), ["t1", "t2"]).select("id", "packed")
+    both = coded(False, one_row).unionByName(arrow_map(again, _unpack(codec.width), one_row))
     return both.withColumnRenamed("id", id_col)
 
 
