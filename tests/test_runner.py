@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from weir.__main__ import main
 from weir.config import parse_config
-from weir.errors import BindError, ConfigError
+from weir.errors import BindError, ConfigError, TableError
 from weir.plans.pipeline import Pipeline
 from weir.queries import config_text
 from weir.sources.tables import KeyedTable, TableSpec
@@ -67,6 +67,14 @@ def test_upsert_and_restart(world):
     assert t.latest_id() == 2
 
 
+def test_checkpoint_of_another_pipeline(world):
+    world.table("o", schema("id", "v"), ("id",))
+    world.runner("INSERT INTO o SELECT id, v FROM a", "id", {"a": None}, {"a": schema("id", "v")})
+    world.runner("INSERT INTO o SELECT id, v FROM a", "id", {"a": None}, {"a": schema("id", "v")})
+    with pytest.raises(TableError, match="another"):
+        world.runner("INSERT INTO o SELECT id, v + 1 AS v FROM a", "id", {"a": None}, {"a": schema("id", "v")})
+
+
 def test_bad_message_commits_nothing(world):
     t = world.table("o", schema("id", "v"), ("id",))
     world.put("a", '{"id": 1, "v": 5}', "garbage")
@@ -260,7 +268,7 @@ def test_metrics(spark, world):
             __import__("time").sleep(0.1)
     finally:
         spark.streams.removeListener(listener)
-    assert m.values["rows_read"] == 2 and m.values["commits"] == 1
+    assert m.values["rows_read"] == 2 and m.values["commits"] == 1 and m.values["rows_written"] == 2
     server = serve(m, "127.0.0.1:0")
     try:
         text = urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/metrics").read().decode()

@@ -262,6 +262,10 @@ class KeyedTable:
                 return after, self._delta(s, changelog)
         return None
 
+    def rows_of(self, snapshot: Snapshot) -> int:
+        """How many rows a commit added, from the files' footers."""
+        return self._folders(snapshot.delta).select("bucket").count() if snapshot.delta else 0
+
     def tail(self, after: int, *, changelog: bool = False) -> tuple[int, DataFrame | None]:
         """(latest id, rows of all APPEND snapshots behind ``after``)."""
         rows, at = None, after

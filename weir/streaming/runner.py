@@ -8,6 +8,7 @@ was written from it.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Input
-from ..errors import BindError, ConfigError
+from ..errors import BindError, ConfigError, TableError
 from ..functions.units import duration_ms
 from ..operators.convert import convert, match_columns
 from ..operators.joins import check_dimension, lookup_join
@@ -44,8 +45,18 @@ class Runner:
         self.client_options: dict[str, str] = {}  # besides region and endpoint
         self._schema_id: int | None = None
         self._checked: int | None = None
+        self._claim()
         self.now: Callable[[], int] = lambda: int(time.time() * 1000)
 
+    def _claim(self) -> None:
+        """Mark the checkpoint folder as this pipeline's; one of another pipeline is refused."""
+        s, out = self.pipeline.statement, self.config.output
+        inputs = [[i.name, i.kind, getattr(i, i.kind)] for i in self.config.inputs]
+        own = json.dumps({"writer": self.writer, "kind": s.kind, "sql": s.select_sql, "inputs": inputs, "output": [out.kind, getattr(out, out.kind)]}, sort_keys=True)
+        files, path = Files(self.spark), f"{self.checkpoint}/pipeline.json"
+        if not files.publish(path, own) and files.read(path) != own:
+            raise TableError(f"the checkpoint at {self.checkpoint} is another pipeline's, or of another version of this one")
+
     @property
     def folder(self) -> str | None:
         """The root of folder topics."""
@@ -102,7 +113,10 @@ class Runner:
         """One micro-batch to the output."""
         out, began = self.config.output, time.time_ns()
         if out.kind == "table":
-            done = self.output_table().commit(rows, writer=self.writer, identifier=number, progress=progress)
+            table = self.output_table()
+            done = table.commit(rows, writer=self.writer, identifier=number, progress=progress)
+            if done is not None:
+                self.metrics.add("rows_written", table.rows_of(done))
         elif out.kind == "topic":
             root = self.folder
             messages = self.messages(rows)
