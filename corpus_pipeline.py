@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm import bpe, language, mixing, quality, simhash
-from weir.llm.common import materialize
+from weir.llm.common import drop_scratch, scratch, scratch_mark
 from weir.llm.queries import vocabulary
 
 
@@ -52,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's intermediate tables are deleted once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        mark, path = scratch_mark(), scratch(spark, name)
+        result = stage(spark, docs, sf_dir)
+        result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
+        drop_scratch(spark, mark, path)
     return docs
