@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.files import Files
+
 #: What splits words everywhere in this subpackage: the space and 0x09 to 0x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -31,9 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Paths given out by this process, for ``scratch_since``.
+_given: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/weir/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/weir/{uuid.uuid4().hex}/{name}"
+    _given.append(path)
+    return path
+
+
+def scratch_mark() -> int:
+    """A point in the order of the paths given out."""
+    return len(_given)
+
+
+def drop_scratch(spark: SparkSession, mark: int, *keep: str) -> None:
+    """Delete the tables written since ``mark`` but ``keep``; results that read them must be written themselves."""
+    files = Files(spark)
+    for path in _given[mark:]:
+        if path not in keep:
+            files.delete(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
