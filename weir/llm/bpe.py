@@ -16,7 +16,7 @@ places, the chunk's body, is shared. A chunk without such a place joins the
 window whole.
 
 A text that several rows have is encoded by one of them, and the others take its
-ids: its rows never meet, however many they are.
+ids; the rows of a text that has very many are dealt to several copies of them.
 
 Sizes: hashes of chunks are shuffled, not chunks. The one text that encodes a
 shared chunk finds it by a Bloom filter of 8 MB at most, in place. Only texts
@@ -41,6 +41,7 @@ from .common import Batches, arrow_map, materialize, small_slices, text_bytes
 
 WINDOW, CUT_BITS, LEAST_BODY = 32, 10, 64
 SLICE = 1_000_000  # bytes of text worked on at a time
+HOT, MOST_HOT = 500, 50_000  # rows of a text that meet one copy of its ids; texts that have several copies
 
 #: Fixed value: how a byte-level vocabulary with ``use_regex`` splits words before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -422,7 +423,8 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
     several = rows.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("t1").bitwiseXOR(F.col("t2")).alias("t"))
     routes = Routes(repeated=bloom.build(materialize(several, "repeated_texts"), "t"))
     narrow = materialize(arrow_map(rows.select("id", "t1", "t2", "k"), _repeated_rows(send(routes)), f"id {kind}, t1 long, t2 long, k long"), "rows_of_repeated_texts")
-    routes.leading = bloom.build(narrow.groupBy("t1", "t2").agg(F.min("k").alias("k")), "k")
+    leads = materialize(narrow.groupBy("t1", "t2").agg(F.min("k").alias("k"), F.count("*").alias("n")), "leading_rows")
+    routes.leading = bloom.build(leads, "k")
     # chunks that several texts have, or one several times
     each = rows.select("t1", "t2", F.posexplode(F.arrays_zip("h1", "h2", "o")).alias("p", "x"))
     bodies_ = materialize(each.groupBy("t1", "t2", "p", "x.h1", "x.h2").agg(F.min("x.o").alias("o")), "bodies")
@@ -436,14 +438,21 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
     way = send(routes)
 
     def coded(repeated: bool, schema: str) -> DataFrame:
-        own = uses.join(narrow.select("t1", "t2").hint("merge"), ["t1", "t2"], "left_semi" if repeated else "left_anti")
+        own = uses.join(leads.select("t1", "t2").hint("merge"), ["t1", "t2"], "left_semi" if repeated else "left_anti")
         pieces = own.join(encoded.hint("merge"), ["h1", "h2"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("p", "ids")).alias("pieces"))
         routed = arrow_map(texts, _route(way, repeated), f"id {kind}, t1 long, t2 long, text string")
         joined = routed.join(pieces.hint("merge"), ["t1", "t2"], "left").select("id", "text", "pieces")
         return arrow_map(texts, _encode_alone(file, way, repeated), schema).unionByName(arrow_map(joined, _assemble(file, repeated), schema))
 
     once = coded(True, one_text).groupBy("t1", "t2").agg(F.max("packed").alias("packed"))  # two rows that encoded a text have equal ids
-    again = narrow.select("id", "t1", "t2").join(materialize(once, "repeated_ids").hint("merge"), ["t1", "t2"]).select("id", "packed")
+    once = materialize(once, "repeated_ids")
+    # the rows of a text with very many are dealt to several copies of its ids; the list is bounded, 24 bytes a text
+    hot = leads.where(F.col("n") > HOT).orderBy(F.desc("n"), "t1", "t2").limit(MOST_HOT)
+    hot = F.broadcast(materialize(hot.select("t1", "t2", F.ceil(F.col("n") / HOT).cast("long").alias("parts")), "hot_texts"))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    ours = narrow.join(hot, ["t1", "t2"], "left").select("id", "t1", "t2", F.pmod(F.monotonically_increasing_id(), parts).alias("part"))
+    theirs = once.join(hot, ["t1", "t2"], "left").select("t1", "t2", "packed", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    again = ours.join(theirs.hint("merge"), ["t1", "t2", "part"]).select("id", "packed")
     both = coded(False, one_row).unionByName(arrow_map(again, _unpack(codec.width), one_row))
     return both.withColumnRenamed("id", id_col)
 

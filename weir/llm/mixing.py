@@ -148,14 +148,15 @@ def mix(
     z = F.col("size") / F.col("mean")
     rate = F.when((F.col("lam") == float("inf")) | (F.col("source_size") == 0), F.lit(float(most))).otherwise(_rate(F.col("lam"), z, most))
     rated = cells.join(known, "key").withColumn("rate", rate)
-    copies = materialize(
-        rated.select("key", "size", "n", "rate").groupBy("key").applyInPandas(_round(most), "key string, size long, base long, extra long"), "mix_copies"
-            )
+    copies = rated.select("key", "size", "n", "rate").groupBy("key").applyInPandas(_round(most), "key string, size long, base long, extra long")
+    copies = materialize(copies, "mix_copies")
     ahead = F.sum("n").over(Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    plan = parts.withColumn("ahead", F.coalesce(ahead, F.lit(0))).join(copies, ["key", "size"])
-    plan = plan.select("key", "size", "part", "ahead", "base", "extra").join(rated.select("key", "size", "source_size", "target", "rate"), ["key", "size"])
+    plan = parts.withColumn("ahead", F.coalesce(ahead, F.lit(0))).join(copies.hint("merge"), ["key", "size"])
+    # tables of cells grow until all sizes occur: no broadcast, however small they are
+    known_cells = rated.select("key", "size", "source_size", "target", "rate").hint("merge")
+    plan = plan.select("key", "size", "part", "ahead", "base", "extra").join(known_cells, ["key", "size"])
     place = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy(F.xxhash64("id"), "id")) - 1
-    ranked = rows.withColumn("place", place).join(plan, ["key", "size", "part"])
+    ranked = rows.withColumn("place", place).join(plan.hint("merge"), ["key", "size", "part"])
     return ranked.select(
         F.col("id").alias(id_col),
         F.when(F.col("key") != "n", F.expr("substring(key, 2)")).alias("source"),
