@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 from .common import materialize, word_count
 
 SPLITS = 64
+MOST_SENT = 50_000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2) -> list[float]:
@@ -57,6 +58,11 @@ def _rate(lam, z, most: float):
     return most / (1 + (most - 1) * F.exp(-F.greatest(F.least(lam * z, F.lit(700.0)), F.lit(-700.0))))
 
 
+def _by_source(df: DataFrame, sources: int) -> DataFrame:
+    """A table with a row a source, for a join: broadcast up to ``MOST_SENT`` sources, some 100 bytes each."""
+    return F.broadcast(df) if sources <= MOST_SENT else df.hint("merge")
+
+
 def tilts(cells: DataFrame, goal: pd.DataFrame, most: float = 2, tolerance: float = 1e-9, rounds: int = 60) -> pd.DataFrame:
     """``lam`` for each source of ``goal`` (key, mean, size, target): the roots of the dual's gradient.
 
@@ -73,7 +79,7 @@ def tilts(cells: DataFrame, goal: pd.DataFrame, most: float = 2, tolerance: floa
         open_ = goal[~done]
         if open_.empty:
             break
-        now = spark.createDataFrame(open_[["key", "mean", "lam"]])
+        now = _by_source(spark.createDataFrame(open_[["key", "mean", "lam"]]), len(open_))
         z = F.col("size") / F.col("mean")
         q = _rate(F.col("lam"), z, most)
         words = F.col("n") * F.col("size")
@@ -147,7 +153,7 @@ def mix(
 
     z = F.col("size") / F.col("mean")
     rate = F.when((F.col("lam") == float("inf")) | (F.col("source_size") == 0), F.lit(float(most))).otherwise(_rate(F.col("lam"), z, most))
-    rated = cells.join(known, "key").withColumn("rate", rate)
+    rated = cells.join(_by_source(known, len(goal)), "key").withColumn("rate", rate)
     copies = rated.select("key", "size", "n", "rate").groupBy("key").applyInPandas(_round(most), "key string, size long, base long, extra long")
     copies = materialize(copies, "mix_copies")
     ahead = F.sum("n").over(Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
