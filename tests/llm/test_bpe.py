@@ -123,6 +123,8 @@ def test_odd_rows(odd_docs, no_docs, library):
     coded = bpe.decode(bpe.encode(odd_docs, vocabulary()), vocabulary()).collect()
     want = sorted((str(r["doc_id"]), tuple(library.encode(r["text"] or "", add_special_tokens=False).ids), r["text"] or "") for r in odd_docs.select("doc_id", "text").collect())
     assert sorted((str(r["doc_id"]), tuple(r["ids"]), r["decoded"]) for r in coded) == want
+    again = bpe.encode(odd_docs, vocabulary(), decoded=True).collect()
+    assert sorted((str(r["doc_id"]), tuple(r["ids"]), r["decoded"]) for r in again) == want
     empty = bpe.decode(bpe.encode(no_docs, vocabulary()), vocabulary())
     assert empty.collect() == [] and empty.columns == ["doc_id", "ids", "decoded"]
 
@@ -134,3 +136,13 @@ def test_bloom_has_no_false_negatives(spark):
     assert bloom.holds(words, x.view(np.uint64)).all()
     assert bloom.holds(words, rng.integers(0, 2**63 - 1, 20_000).view(np.uint64)).mean() < 0.1
     assert not bloom.holds(bloom.build(spark.createDataFrame([], "h long"), "h"), x.view(np.uint64)).any()
+
+
+def test_a_text_of_very_many_rows(spark, library):
+    from collections import Counter
+
+    base = "The quick brown fox jumps " * 60
+    rows = [(i % 7, base) for i in range(1300)] + [(i, f"{i} more {base}") for i in range(20)] + [(None, base)] * 3
+    coded = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), vocabulary())
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in coded.collect())
+    assert got == Counter((i, tuple(library.encode(t, add_special_tokens=False).ids)) for i, t in rows)

@@ -41,7 +41,7 @@ from .common import Batches, arrow_map, materialize, small_slices, text_bytes
 
 WINDOW, CUT_BITS, LEAST_BODY = 32, 10, 64
 SLICE = 1_000_000  # bytes of text worked on at a time
-HOT, MOST_HOT = 500, 50_000  # rows of a text that meet one copy of its ids; texts that have several copies
+HOT, MOST_HOT = 200, 50_000  # rows of a text that meet one copy of its ids; texts that have several copies
 
 #: Fixed value: how a byte-level vocabulary with ``use_regex`` splits words before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -320,7 +320,7 @@ def _repeated_rows(routes) -> Callable[[Batches], Batches]:
     return run
 
 
-def _encode_alone(file, routes, repeated: bool) -> Callable[[Batches], Batches]:
+def _encode_alone(file, routes, repeated: bool, decoded: bool = False) -> Callable[[Batches], Batches]:
     """Encode the texts that hold no shared chunk."""
 
     def run(batches: Batches) -> Batches:
@@ -328,20 +328,28 @@ def _encode_alone(file, routes, repeated: bool) -> Callable[[Batches], Batches]:
         for batch in small_slices(batches, "text", SLICE):
             s = _Slice(batch, with_bodies=False)
             rows = routes.value.of(s, seen, repeated, False)
-            yield _coded(s, rows, repeated, [codec.encode(s.raw[s.off[i] : s.off[i + 1]].decode()) for i in rows.tolist()], codec.width)
+            ids = [codec.encode(s.raw[s.off[i] : s.off[i + 1]].decode()) for i in rows.tolist()]
+            yield _packed(s, rows, ids, codec) if repeated else _plain(s.ids.take(pa.array(rows)), ids, codec, decoded)
 
     return run
 
 
-def _coded(s: _Slice, rows: np.ndarray, repeated: bool, ids: list[np.ndarray], width: int) -> pa.RecordBatch:
-    """(id, ids) of single rows, or (text's hash, packed ids) of repeated texts."""
+def _packed(s: _Slice, rows: np.ndarray, ids: list[np.ndarray], codec: Codec) -> pa.RecordBatch:
+    """(text's hash, packed ids) of repeated texts."""
     at = pa.array(rows)
-    if not repeated:
-        return pa.RecordBatch.from_arrays([s.ids.take(at), _ids_column(ids)], names=["id", "ids"])
-    packed = pa.array([_pack(x, width) for x in ids], pa.binary())
+    packed = pa.array([_pack(x, codec.width) for x in ids], pa.binary())
     return pa.RecordBatch.from_arrays([_long(s.t1).take(at), _long(s.t2).take(at), packed], names=["t1", "t2", "packed"])
 
 
+def _plain(row_ids: pa.Array, ids: list[np.ndarray], codec: Codec, decoded: bool) -> pa.RecordBatch:
+    """(id, ids) of rows, and what the ids decode to."""
+    columns, names = [row_ids, _ids_column(ids)], ["id", "ids"]
+    if decoded:
+        columns.append(pa.array([codec.decode(x.tolist()) for x in ids], pa.string()))
+        names.append("decoded")
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def _ids_column(ids: list[np.ndarray]) -> pa.Array:
     off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
     flat = np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32)
@@ -362,7 +370,7 @@ def _route(routes, repeated: bool) -> Callable[[Batches], Batches]:
     return run
 
 
-def _assemble(file, repeated: bool) -> Callable[[Batches], Batches]:
+def _assemble(file, repeated: bool, decoded: bool = False) -> Callable[[Batches], Batches]:
     """Ids of texts from those of their shared bodies and new ones for all between."""
 
     def run(batches: Batches) -> Batches:
@@ -384,25 +392,28 @@ def _assemble(file, repeated: bool) -> Callable[[Batches], Batches]:
                 if s.off[d + 1] > done:
                     parts.append(codec.encode(s.raw[done : s.off[d + 1]].decode()))
                 out.append(np.concatenate([np.zeros(0, np.uint32), *parts]))
-            yield _coded(s, np.arange(s.n), repeated, out, codec.width)
+            yield _packed(s, np.arange(s.n), out, codec) if repeated else _plain(s.ids, out, codec, decoded)
 
     return run
 
 
-def _unpack(width: int) -> Callable[[Batches], Batches]:
+def _unpack(file, decoded: bool) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
+        codec = _codec(file)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids = [np.frombuffer(x, f"<u{width}").astype(np.uint32) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), _ids_column(ids)], names=["id", "ids"])
+                ids = [np.frombuffer(x, f"<u{codec.width}").astype(np.uint32) for x in part.column(1).to_pylist()]
+                yield _plain(part.column(0), ids, codec, decoded)
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, *, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>, ids``: the token ids of every text, as the tokenizers library gives them.
 
+    With ``decoded`` also the text that the ids decode to, from the same pass.
+
     ``vocabulary`` is the path of a tokenizers JSON file that the driver can read.
     Null texts count as empty and have no ids. Repeated rows are given back as
     often as they come; null ids are kept. Empty tables give empty results. Other
@@ -414,9 +425,9 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
     file = send(codec)  # a vocabulary, a few MB
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(texts.dtypes)["id"]
-    one_row, one_text = f"id {kind}, ids array<int>", "t1 long, t2 long, packed binary"
+    one_row, one_text = f"id {kind}, ids array<int>" + ", decoded string" * decoded, "t1 long, t2 long, packed binary"
     if not codec.breaks:  # no place is known where a join is exact: every text as a whole
-        return arrow_map(texts, _encode_alone(file, send(Routes()), False), one_row).withColumnRenamed("id", id_col)
+        return arrow_map(texts, _encode_alone(file, send(Routes()), False, decoded), one_row).withColumnRenamed("id", id_col)
 
     rows = materialize(arrow_map(texts, _scan, f"id {kind}, t1 long, t2 long, k long, h1 array<long>, h2 array<long>, o array<long>"), "chunk_hashes")
     # texts that several rows have: one row encodes, the others take its ids
@@ -442,7 +453,7 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
         pieces = own.join(encoded.hint("merge"), ["h1", "h2"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("p", "ids")).alias("pieces"))
         routed = arrow_map(texts, _route(way, repeated), f"id {kind}, t1 long, t2 long, text string")
         joined = routed.join(pieces.hint("merge"), ["t1", "t2"], "left").select("id", "text", "pieces")
-        return arrow_map(texts, _encode_alone(file, way, repeated), schema).unionByName(arrow_map(joined, _assemble(file, repeated), schema))
+        return arrow_map(texts, _encode_alone(file, way, repeated, decoded), schema).unionByName(arrow_map(joined, _assemble(file, repeated, decoded), schema))
 
     once = coded(True, one_text).groupBy("t1", "t2").agg(F.max("packed").alias("packed"))  # two rows that encoded a text have equal ids
     once = materialize(once, "repeated_ids")
@@ -453,7 +464,7 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
     ours = narrow.join(hot, ["t1", "t2"], "left").select("id", "t1", "t2", F.pmod(F.monotonically_increasing_id(), parts).alias("part"))
     theirs = once.join(hot, ["t1", "t2"], "left").select("t1", "t2", "packed", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
     again = ours.join(theirs.hint("merge"), ["t1", "t2", "part"]).select("id", "packed")
-    both = coded(False, one_row).unionByName(arrow_map(again, _unpack(codec.width), one_row))
+    both = coded(False, one_row).unionByName(arrow_map(again, _unpack(file, decoded), one_row))
     return both.withColumnRenamed("id", id_col)
 
 

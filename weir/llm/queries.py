@@ -43,8 +43,7 @@ def vocabulary() -> str:
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents and their texts decoded again, as digests."""
-    coded = bpe.encode(_table(spark, sf_dir, "documents"), vocabulary())
-    coded = bpe.decode(coded, vocabulary())
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), vocabulary(), decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
