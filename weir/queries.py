@@ -381,12 +381,13 @@ def topic_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_json(rows, "o_orderkey")
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey END AS cust FROM orders")
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_custkey % 7 = 0 THEN -1 ELSE o_custkey END AS cust FROM orders")
 def avro_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderstatus", "o_totalprice", "CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey END AS cust")
     schema = avro.avro_schema(rows.schema)
     data = rows.select(avro.encode_column(rows.columns, schema, number=7).alias("value"))
-    return data.select(avro.decode_column(F.col("value"), schema, wrapped=True).alias("r")).select("r.*")
+    out = data.select(avro.decode_column(F.col("value"), schema, wrapped=True).alias("r")).select("r.*")
+    return out.withColumn("cust", F.coalesce("cust", F.lit(-1).cast("long")))  # nulls come back as such
 
 
 # --- streams: files in, Structured Streaming, keyed table out ----------------------
