@@ -19,34 +19,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Batches, arrow_map, materialize, small_slices, text_bytes
 from .graph import components
+from .shingles import MAX_BITS, fingerprint
+from .similar import similar_texts
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # (first bit, bits)
-MAX_BITS = 4
-BLOCK = 200_000  # shingles hashed at a time
-
-
-def fingerprint(text: bytes, words: int = 4) -> int:
-    """The 64-bit fingerprint; a bit is set if over half of the shingle hashes have it."""
-    found = text.lower().split()  # bytes: A-Z only, and the white space named in WORD_PATTERN
-    if not found:
-        return 0
-    flat = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    width = min(words, len(found))
-    starts, ends = starts[: len(found) - width + 1], ends[width - 1 :]
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for i in range(0, len(starts), BLOCK):
-        hashes = [digest(flat[s:e], 42) for s, e in zip(starts[i : i + BLOCK].tolist(), ends[i : i + BLOCK].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
-        total += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(words: int):
@@ -201,11 +182,13 @@ def _bits(at: int, n: int):
     return F.shiftrightunsigned(F.col("fp"), at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 4, tile: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 4, similarity: float | None = None, tile: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>, fp, class_fp, component_id`` for every row.
 
     ``fp`` is the fingerprint as a signed long, ``class_fp`` names the class (a
-    fingerprint in it), ``component_id`` is the smallest id in the class.
+    fingerprint in it), ``component_id`` is the smallest id in the class. With
+    ``similarity``, texts whose sets of five-word shingles have at least that
+    Jaccard similarity are linked as well, however far their fingerprints are.
 
     Null and wordless texts have fingerprint 0 and are linked like any other.
     Repeated rows are given back as often as they come. Null ids are linked but
@@ -217,20 +200,23 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, tile: int = 4096, id_col
         "fingerprints",
     )
     fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct_fingerprints")
-    roots = components(near_links(fps.select("fp"), tile)).withColumnsRenamed({"node": "fp", "root": "class_fp"})
+    links = near_links(fps.select("fp"), tile)
+    if similarity is not None:
+        links = links.unionByName(similar_texts(docs.select(F.col(text_col).cast("string").alias("text")), similarity, fingerprint_words=words, tile=tile))
+    roots = components(links).withColumnsRenamed({"node": "fp", "root": "class_fp"})
     classed = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("class_fp", "fp").alias("class_fp"))
     least = classed.groupBy("class_fp").agg(F.min("least").alias("component_id"))
     classes = materialize(classed.join(least, "class_fp").select("fp", "class_fp", "component_id"), "classes")
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "class_fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, words: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one of each class: that of the smallest id.
 
     Rows that repeat the kept id in its class are reduced to one as well. A class
     without any id keeps one of its rows.
     """
-    found = near_duplicates(docs, words=words, id_col=id_col, text_col=text_col)
+    found = near_duplicates(docs, words=words, similarity=similarity, id_col=id_col, text_col=text_col)
     kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("class_fp").agg(
         F.min(F.struct("fp")).alias("x"), F.first("component_id", ignorenulls=True).alias("__id")
     )
