@@ -89,3 +89,16 @@ def test_template_of_a_host(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id AS id", "url", "html")
     found = pages.templates(df).collect()
     assert len({r["slot"] for r in found}) == 1 and found[0]["slot"] != 0
+
+
+def test_headline_and_lead_outside_the_innermost_div(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    body = lambda i: " ".join(f"{w}{i}" for w in words * 6)
+    page = lambda i: f"<body><div class=m>Start Shop</div><div class=c><h1>{words[i]} wins</h1><div class=lead><p>{words[-i]} tells {i}</p></div><div class=t><p>{body(i)}</p></div></div></body>"
+    bare = lambda i: page(i).replace("<div class=m>Start Shop</div>", "")
+    beside = lambda i: f"<body><div class=lead><p>{words[i]}{i} tells</p></div><article><p>{body(i)}</p></article></body>"
+    want = lambda i: f"{words[i]} wins {words[-i]} tells {i} {body(i)}"
+    rows = [(i, "http://a.example/", page(i)) for i in range(6)] + [(50, "http://b.example/", bare(5))]
+    got = run(spark, *rows, *[(100 + i, "http://c.example/", beside(i)) for i in range(3)])
+    assert [got[i] for i in range(6)] == [want(i) for i in range(6)] and got[50] == want(5)
+    assert [got[100 + i] for i in range(3)] == [f"{words[i]}{i} tells {body(i)}" for i in range(3)]

@@ -6,7 +6,10 @@ occurrence vector says how often each page of the host has it. Tokens of equal
 vectors form a class; a class that is in nine tenths of the host's pages, once in
 each, is part of the template. Such classes nest by their paths: the deepest of
 their elements that still holds nearly all of the host's text outside menus and
-the like is the slot that the pages fill with their article. A text that stands
+the like is the core of the page. The slot that the pages fill with their article
+is the core, or the smallest element around it beside which no text varies: a
+place outside the core is the template's if most of its words stand there in nine
+tenths of the pages, two pages at least. A text that stands
 at the same place in nine tenths of ten pages or more is part of the template,
 not of a slot. What remains in the slot is extracted.
 
@@ -150,18 +153,20 @@ def _token(path: int, text: str) -> int:
 
 
 def _tokens(batches: Batches) -> Batches:
-    """Rows (host, token, kind, depth, pages, once, sig, chars), added up within the task.
+    """Rows (host, token, kind, depth, place, pages, once, sig, chars), added up within the task.
 
-    kind: 0 the host itself, 1 an element that may be a slot, 2 another element, 3 a text.
+    kind: 0 the host itself, 1 and 2 an element that may be a slot, 4 another element, 3 a text,
+    6 a place of text outside the page's core, 5 a word there. The core is the deepest element with
+    nearly all text; the depth of such a place is that of the deepest element around both.
     """
     held: dict[tuple, list[int]] = {}
 
     def rows() -> pa.RecordBatch:
         keys, values = list(zip(*held, strict=True)), list(zip(*held.values(), strict=True))
         held.clear()
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32())
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         cols = [pa.array(k, t) for k, t in zip(keys, kinds, strict=True)] + [pa.array(v, pa.int64()) for v in values]
-        return pa.RecordBatch.from_arrays(cols, names=["host", "token", "kind", "depth", "pages", "once", "sig", "chars"])
+        return pa.RecordBatch.from_arrays(cols, names=["host", "token", "kind", "depth", "place", "pages", "once", "sig", "chars"])
 
     for batch in batches:
         for number, host, page in zip(batch.column(0).to_pylist(), host_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
@@ -173,9 +178,15 @@ def _tokens(batches: Batches) -> Batches:
                     for p in paths:
                         chars[p] = chars.get(p, 0) + len(text)
                     texts[paths[-1], text] = texts.get((paths[-1], text), 0) + 1
-            these = [((host, ROOT, 0, 0), 1, chars.get(ROOT, 0))]
-            these += [((host, p, 1 if name in ("article", "main") else 2 if name in CONTAINERS else 4, depth), n, chars.get(p, 0)) for p, (n, depth, name) in elements.items()]
-            these += [((host, _token(p, t), 3, 0), n, 0) for (p, t), n in texts.items()]
+            these = [((host, ROOT, 0, 0, 0), 1, chars.get(ROOT, 0))]
+            these += [((host, p, 1 if name in ("article", "main") else 2 if name in CONTAINERS else 4, depth, 0), n, chars.get(p, 0)) for p, (n, depth, name) in elements.items()]
+            these += [((host, _token(p, t), 3, 0, 0), n, 0) for (p, t), n in texts.items()]
+            outside: dict[tuple, list[int]] = {}
+            for key, size in _outside(found, elements, chars):
+                x = outside.setdefault((host, *key), [0, 0])
+                x[0] += 1
+                x[1] += size
+            these += [(key, n, c) for key, (n, c) in outside.items()]
             for key, n, c in these:
                 sig = np.array(xxhash.xxh64_intdigest(f"{number}/{n}", seed=7), np.uint64).view(np.int64).item()
                 row = held.get(key)
@@ -192,6 +203,21 @@ def _tokens(batches: Batches) -> Batches:
         yield rows()
 
 
+def _outside(found: list, elements: dict[int, list], chars: dict[int, int]) -> list[tuple[tuple[int, int, int, int], int]]:
+    """((token, kind, depth, place), letters) of the words outside the page's core and of their places."""
+    whole = chars.get(ROOT, 0)
+    core = max((p for p, (n, _, name) in elements.items() if n == 1 and name in CONTAINERS and chars.get(p, 0) >= 0.8 * whole), key=lambda p: elements[p][1], default=None)
+    around = next((paths[: elements[core][1] + 1] for paths, apart, _ in found if not apart and core in paths), None) if core and whole else None
+    out = []
+    for paths, apart, text in found if around else ():
+        if not apart and core not in paths:
+            depth = sum(x == y for x, y in zip(paths, around, strict=False)) - 1
+            for w in text.split():
+                out.append(((_child(paths[-1], "w=" + w), 5, depth, paths[-1]), len(w)))
+                out.append(((paths[-1], 6, depth, paths[-1]), len(w)))
+    return out
+
+
 def _templates(groups: Batches) -> Batches:
     """For each host its slot (the path of an element, 0 for none) and the texts of its template."""
     for batch in groups:
@@ -199,30 +225,40 @@ def _templates(groups: Batches) -> Batches:
         for host, pages, chars, members in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             classes: dict[int, list[dict]] = {}
             for t in members:
-                if t["kind"] != 3 and t["once"] == t["pages"]:
+                if t["kind"] in (1, 2, 4) and t["once"] == t["pages"]:
                     classes.setdefault(t["sig"], []).append(t)
             # a class of one token says nothing, unless the host has one page
             valid = [t for c in classes.values() if len(c) > 1 or pages == 1 for t in c]
             full = [t for t in valid if t["kind"] in (1, 2) and chars and t["chars"] >= 0.8 * chars]
             named = [t for t in full if t["kind"] == 1]
             best = min(named, key=lambda t: (t["depth"], t["token"])) if named else max(full, key=lambda t: (t["depth"], t["token"]), default=None)
+            # up to where nothing that varies stands beside it; places of mostly the same words are the template's
+            same: dict[tuple[int, int], int] = {}
+            for t in members:
+                if t["kind"] == 5 and pages > 1:
+                    same[t["place"], t["depth"]] = same.get((t["place"], t["depth"]), 0) + t["chars"]
+            beside = [t for t in members if t["kind"] == 6 and best and t["depth"] < best["depth"]]
+            own = {t["place"] for t in beside if 2 * same.get((t["place"], t["depth"]), 0) < t["chars"]}
+            if own:
+                need = min(t["depth"] for t in beside if t["place"] in own)
+                best = max((t for t in full if t["depth"] <= need), key=lambda t: t["depth"], default=None)
             hosts.append(host)
             slots.append(best["token"] if best else 0)
-            texts.append([t["token"] for t in members if t["kind"] == 3])
+            texts.append([t["token"] for t in members if t["kind"] == 3] + sorted({t["place"] for t in beside} - own))
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int64()), pa.array(texts, pa.list_(pa.int64()))], names=["host", "slot", "texts"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """``host, slot, texts`` of all hosts; ``pages`` has (id, url, html)."""
-    found = arrow_map(pages, _tokens, "host string, token long, kind int, depth int, pages long, once long, sig long, chars long")
-    tokens = found.groupBy("host", "token", "kind", "depth").agg(
+    found = arrow_map(pages, _tokens, "host string, token long, kind int, depth int, place long, pages long, once long, sig long, chars long")
+    tokens = found.groupBy("host", "token", "kind", "depth", "place").agg(
         F.sum("pages").alias("pages"), F.sum("once").alias("once"), F.bit_xor("sig").alias("sig"), F.sum("chars").alias("chars")
     ).where("kind <> 3 or pages >= 9")
     tokens = materialize(tokens, "page_tokens")
     hosts = tokens.where("kind = 0").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
-    often = tokens.where("kind <> 0").join(hosts, "host").where("pages >= 0.9 * all_pages and (kind <> 3 or all_pages >= 10)")
+    often = tokens.where("kind <> 0").join(hosts, "host").where("kind = 6 or pages >= 0.9 * all_pages and (kind <> 3 or all_pages >= 10)")
     # nine tenths of the pages hold each of these: not many more than one page has
-    members = often.groupBy("host").agg(F.collect_list(F.struct("token", "kind", "depth", "pages", "once", "sig", "chars")).alias("members"))
+    members = often.groupBy("host").agg(F.collect_list(F.struct("token", "kind", "depth", "place", "pages", "once", "sig", "chars")).alias("members"))
     both = hosts.join(members, "host", "left").select("host", "all_pages", "all_chars", F.coalesce("members", F.array().cast(members.schema["members"].dataType)).alias("members"))
     return materialize(arrow_map(both, _templates, "host string, slot long, texts array<long>"), "page_templates")
 
@@ -231,7 +267,7 @@ def main_text(page: str, slot: int, template_texts: frozenset[int]) -> str:
     """The text of the page's slot (of the whole page, if it has none) without what is set aside and the template's."""
     found, elements = blocks(page)
     own = slot if slot in elements else ROOT
-    kept = [t for paths, apart, t in found if not apart and own in paths and not (template_texts and _token(paths[-1], t) in template_texts)]
+    kept = [t for paths, apart, t in found if not apart and own in paths and not (template_texts and (paths[-1] in template_texts or _token(paths[-1], t) in template_texts))]
     return " ".join(kept)
 
 
