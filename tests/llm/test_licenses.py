@@ -70,3 +70,17 @@ def test_own_templates(spark):
 def test_odd_rows(odd_docs, no_docs):
     assert licenses.scan(odd_docs).collect() == []
     assert licenses.scan(no_docs).columns == ["doc_id", "license", "coverage", "first_word", "end_word", "places"]
+
+
+def test_inserted_words_at_every_offset():
+    """A copy with inserted words is found wherever the windows fall."""
+    import numpy as np
+
+    template = np.arange(1, 101, dtype=np.uint64)
+    for kept, length in ((85, 120), (100, 180)):
+        copy = np.full(length, 0, np.uint64)
+        copy[np.linspace(0, length - 1, kept).astype(int)] = template[np.linspace(0, 99, kept).astype(int)]
+        for at in range(0, 200, 10):
+            words = np.concatenate([np.full(at, 500, np.uint64), copy, np.full(700, 500, np.uint64)])
+            got = licenses.find(words, template, 0.8)
+            assert got == (kept / 100, at, at + length, 1), (at, got)

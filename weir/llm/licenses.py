@@ -5,8 +5,8 @@ the longest run of anchors that is in order in both is kept, and the gaps betwee
 them are aligned the same way, with fewer words to be unique among. The coverage
 is the share of the template's words that were aligned.
 
-A long text is aligned window by window (two template lengths every template
-length, so any place lies whole in one), and only windows that hold enough of the
+A long text is aligned window by window (two and three template lengths every
+template length, so any place of up to two lengths lies whole in one), and only windows that hold enough of the
 template's words at all. Words are compared as hashes, found for a slice of texts
 at once. Only rows with a match leave the scan.
 """
@@ -114,6 +114,16 @@ def template_words(text: str) -> np.ndarray:
     return _words(raw, np.array([0, len(raw)]))[1]
 
 
+def _densest(pairs: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
+    """The longest run of pairs that spans at most ``width`` words, the narrowest and first of such."""
+    best, i = (0, 0, 0, 0), 0
+    for j in range(len(pairs)):
+        while pairs[j][0] - pairs[i][0] >= width:
+            i += 1
+        best = max(best, (j + 1 - i, pairs[i][0] - pairs[j][0], -i, -j))
+    return pairs[-best[2] : 1 - best[3]] if best[0] else []
+
+
 def find(words: np.ndarray, template: np.ndarray, coverage: float) -> tuple[float, int, int, int] | None:
     """(coverage, first word, end, places) of the best place of ``template`` in ``words`` that covers enough of it."""
     n, need = len(template), max(1, int(np.ceil(coverage * len(template))))
@@ -121,8 +131,10 @@ def find(words: np.ndarray, template: np.ndarray, coverage: float) -> tuple[floa
     total = np.concatenate([[0], np.cumsum(hit)])
     starts = np.arange(0, max(1, len(words) - n), n)
     ends = np.minimum(starts + 2 * n, len(words))
-    t, best, spans = template.tolist(), None, set()
+    t, best, near = template.tolist(), None, []  # near: for each window {span: aligned words}
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        spans: dict[tuple[int, int], int] = {}
+        near.append(spans)
         if total[e] - total[s] < need:
             continue
         part = words[s:e]
@@ -131,11 +143,28 @@ def find(words: np.ndarray, template: np.ndarray, coverage: float) -> tuple[floa
             pairs = align(w.tolist(), t)
             if len(pairs) >= need and pairs[-1][0] - pairs[0][0] < 2 * n:
                 span = (b + pairs[0][0], b + pairs[-1][0] + 1)
-                spans.add(span)
+                spans[span] = len(pairs)
                 key = (len(pairs) / n, -(span[1] - span[0]), -span[0])
                 if best is None or key > best[0]:
                     best = (key, span)
-    return (best[0][0], *best[1], len(spans)) if best else None
+    # a place of up to 2n words that both windows of 2n cut lies whole in three template lengths
+    for k, s in enumerate(starts.tolist()):
+        e = min(s + 3 * n, len(words))
+        if total[e] - total[s] < need:
+            continue
+        pairs = _densest(align(words[s:e].tolist(), t), 2 * n)
+        if len(pairs) < need:
+            continue
+        span = (s + pairs[0][0], s + pairs[-1][0] + 1)
+        around = [(m, x) for m in range(max(0, k - 2), min(len(near), k + 4)) for x in near[m] if x[0] < span[1] and span[0] < x[1]]
+        if all(near[m][x] < len(pairs) for m, x in around):
+            for m, x in around:
+                del near[m][x]
+            near[k][span] = len(pairs)
+            key = (len(pairs) / n, -(span[1] - span[0]), -span[0])
+            if best is None or key > best[0]:
+                best = (key, span)
+    return (best[0][0], *best[1], len({x for spans in near for x in spans})) if best else None
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
