@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weir.llm import language, quality
 from weir.llm.queries import op4_quality_classifier, op6_language_id
-from weir.llm.runs import pieces, tokens
+from weir.llm.runs import pieces, token_blocks, tokens
 
 SF = "/root/testdata/sf0.01"
 
@@ -68,19 +68,90 @@ def test_tokens():
     assert h[0] == h[3] and h[0] != h[1] and h[7] == h[8]
 
 
-def test_long_texts_come_in_pieces():
+ODD_TEXTS = ["ab cd!! über 12 " * 300 + "x" * 3000 + "ü" * 2000 + " tail 日本語 " + "c" * 999, "a", None, "ü" * 50 + "x y", "", " \t", "one two two one " * 200]
+
+
+def batch_of(texts):
     import pyarrow as pa
 
-    text = "ab cd " * 1000 + "ü" * 3000
-    batch = pa.RecordBatch.from_arrays([pa.array(["x", text, None])], names=["text"])
-    got = {}
-    for rows, parts in pieces(iter([batch]), "text", 1000):
-        for index, raw, off in parts:
-            assert len(raw) <= 1000
-            for i, s, e in zip(index.tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
-                key = (rows.column(0)[i].as_py() or "")[:1]
-                got[key] = got.get(key, "") + raw[s:e].tobytes().decode()
-    assert got.pop("", "") == "" and got == {"x": "x", "a": text}
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3, 7, 100, 2999])
+def test_long_texts_give_what_whole_ones_give(limit):
+    def words(n):
+        out = []
+        for rows, blocks in token_blocks(iter([batch_of(ODD_TEXTS)]), limit=n):
+            own = [[] for _ in range(rows.num_rows)]
+            for text, h, seen in blocks:
+                for t, x in zip(text[seen:].tolist(), h[seen:].tolist(), strict=True):
+                    own[t].append(x)
+            out += own
+        return out
+
+    def grams(n):
+        out = []
+        for rows, parts in pieces(iter([batch_of(ODD_TEXTS)]), limit=n):
+            own = [[] for _ in range(rows.num_rows)]
+            for index, raw, off, guards in parts:
+                text, gram, _ = language.trigrams(raw, off, guards)
+                for t, g in zip(text.tolist(), gram.tolist(), strict=True):
+                    own[int(index[t])].append(g)
+            out += own
+        return out
+
+    assert words(limit) == words(10**7)
+    assert grams(limit) == grams(10**7)
+
+
+def test_features_of_long_texts_are_exact(monkeypatch):
+    known = quality.Words(np.sort(tokens(np.frombuffer(b"ab cd tail", np.uint8), np.array([0, 10]))[1]))
+    table = np.random.default_rng(0).integers(-64, 65, (len(known.index), 2 * quality.DIMS)).astype(np.int8)
+    run = lambda: np.vstack([x for _, x in quality._features(iter([batch_of(ODD_TEXTS)]), known, table, "text")])
+    contexts = lambda: [c.to_pylist() for c in next(quality._contexts(type("Sent", (), {"value": known}))(iter([batch_of(ODD_TEXTS)]))).columns]
+    whole, sums = run(), contexts()
+    monkeypatch.setattr(quality, "CHUNK", 7)
+    assert np.array_equal(run(), whole)
+    real = quality.token_blocks
+    monkeypatch.setattr(quality, "token_blocks", lambda batches, column="text": real(batches, column, 101))
+    assert np.array_equal(run(), whole) and contexts() == sums
+
+
+def test_features_against_a_slow_version():
+    texts = ["the the cat", "a b a b, c", "", "one"]
+    known = quality.Words(np.zeros(0, np.uint64))
+    table = np.random.default_rng(1).integers(-64, 65, (len(known.index), 2 * quality.DIMS)).astype(np.int8)
+    got = np.vstack([x for _, x in quality._features(iter([batch_of(texts)]), known, table, "text")])
+    for row, text in zip(got, texts, strict=True):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        v = table[known.rows(tokens(raw, np.array([0, len(raw)]))[1])].astype(float) / quality.UNIT
+        n = len(v) + quality.PRIOR
+        parts = [v.sum(0) / n] + [(v[d:] * v[:-d]).sum(0) / n if len(v) > d else np.zeros(64) for d in quality.REACH]
+        assert np.allclose(row, np.concatenate(parts))
+
+
+def test_vectors_are_all_that_scores(spark):
+    """The network sees pooled vectors and nothing else; without them it knows nothing."""
+    assert quality.FEATURES == 3 * 2 * quality.DIMS
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").toPandas()
+    scored = quality.score(docs, spark.read.parquet(f"{SF}/labels.parquet")).toPandas().merge(labels, on="doc_id")
+    held = scored[scored.held_out]
+    assert auc(held.score.to_numpy(), held.quality.to_numpy()) > 0.99
+
+
+def test_frequent_words_are_exact(spark):
+    docs = spark.createDataFrame([("a a a b b c",), ("a d",), (None,)], "text string").select(F.coalesce("text", F.lit("")).alias("text"))
+    h = dict(zip("abcd", tokens(np.frombuffer(b"a b c d", np.uint8), np.array([0, 7]))[1].tolist(), strict=True))
+    assert quality.frequent_words(docs, 0.5).tolist() == [h["a"]]
+    assert quality.frequent_words(docs, 0.25).tolist() == sorted([h["a"], h["b"]])
+    assert quality.frequent_words(docs, 1e-9).tolist() == sorted(h.values())
+
+
+def test_labels_without_documents_do_not_use_up_the_sample(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    wide = labels.unionByName(spark.range(10**6, 10**6 + 5000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic"))
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "score").collect()))
+    assert key(quality.score(docs, wide, sample=300)) == key(quality.score(docs, labels, sample=300))
 
 
 def test_language_of_held_out_rows(spark):
@@ -130,6 +201,33 @@ def test_trigrams():
     assert has.tolist() == [any(map(str.isalpha, t)) for t in texts]
 
 
+def test_language_of_all_rows_against_a_slow_version(spark):
+    """Counts, filters and guesses again, with sets in place of filters."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+    counts, totals = {}, {}
+    for i, text, lang in zip(docs.doc_id, docs.text, docs.lang, strict=True):
+        if lang is not None and text is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            grams = slow_trigrams(text)
+            totals[lang] = totals.get(lang, 0) + len(grams)
+            for g in grams:
+                counts.setdefault(g, {}).setdefault(lang, 0)
+                counts[g][lang] += 1
+    held = {k: set() for k in totals}
+    for g, by in counts.items():
+        top = max(n / totals[k] for k, n in by.items())
+        for k, n in by.items():
+            if n / totals[k] >= 1e-5 and n / totals[k] * 8 >= top:
+                held[k].add(g)
+    got = {r["doc_id"]: r for r in language.identify(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    agree = 0
+    for i, text in zip(docs.doc_id, docs.text, strict=True):
+        grams = slow_trigrams(text)
+        share = {k: sum(g in held[k] for g in grams) / max(1, len(grams)) for k in held}
+        assert abs(got[i]["score"] - max(share.values())) < 0.02  # chance hits are taken off in the mean
+        agree += share[got[i]["lang_pred"]] == max(share.values())
+    assert agree >= 0.995 * len(docs)
+
+
 def test_filters_hold_all_and_little_more():
     rng = np.random.default_rng(1)
     names = [f"l{i:02d}" for i in range(70)]  # more languages than a word has bits

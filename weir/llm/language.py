@@ -28,6 +28,7 @@ from .runs import pieces
 
 HASHES, MULTIPLIERS = 3, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 UNKNOWN = "und"
+MOST_SENT = 50_000  # languages whose totals are broadcast
 
 
 @cache
@@ -42,8 +43,11 @@ def _letters() -> np.ndarray:
     return out
 
 
-def trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text of each trigram, trigram, texts that have a letter). A trigram holds its code points, 21 bits each."""
+def trigrams(raw: np.ndarray, off: np.ndarray, guards: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each trigram, trigram, texts that have a letter). A trigram holds its code points, 21 bits each.
+
+    ``guards``: whether the first and the last character stand beside the piece and have no trigram of their own.
+    """
     n = len(off) - 1
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     starts = np.concatenate([[0], np.cumsum(raw & 0xC0 != 0x80)])[off]  # of texts, in characters
@@ -57,6 +61,8 @@ def trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     a, b, c = letters[:-2], letters[1:-1], letters[2:]
     c = np.where(text[2:] == text[1:-1], c, 0)  # behind a text's last letter is a gap
     at = np.flatnonzero(b != 0)  # the character before a letter is of the same text: each begins with a gap
+    if any(guards) and len(points):
+        at = at[int(guards[0] and _letters()[points[0]] != 0) : len(at) - int(guards[1] and _letters()[points[-1]] != 0)]
     return text[1:-1][at], a[at] << np.uint64(42) | b[at] << np.uint64(21) | c[at], has
 
 
@@ -80,8 +86,8 @@ def _count(batches: Batches) -> Batches:
 
     for batch, parts in pieces(batches):
         own = np.array([names.setdefault(x, len(names)) for x in batch.column(1).to_pylist()])
-        for index, raw, off in parts:
-            text, gram, _ = trigrams(raw, off)
+        for index, raw, off, guards in parts:
+            text, gram, _ = trigrams(raw, off, guards)
             lang = own[index[text]] if len(text) else np.zeros(0, np.int64)
             for k in np.unique(lang).tolist():
                 found, n = np.unique(gram[lang == k], return_counts=True)
@@ -140,8 +146,9 @@ def learn(docs: DataFrame, *, floor: float = 1e-5, ratio: float = 8, text_col: s
     languages = sorted(totals, key=lambda k: (-totals[k], k))
     if not languages:
         return Filters([], np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    total = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, float(totals[k]))]), F.col("lang"))
-    common = counted.withColumn("rate", F.col("n") / total).where(F.col("rate") >= floor).toPandas()
+    total = counted.sparkSession.createDataFrame([(k, float(totals[k])) for k in languages], "lang string, total double")
+    total = F.broadcast(total) if len(languages) <= MOST_SENT else total.hint("merge")
+    common = counted.join(total, "lang").withColumn("rate", F.col("n") / F.col("total")).where(F.col("rate") >= floor).toPandas()
     rate = common["rate"].to_numpy()
     _, at = np.unique(common["gram"].to_numpy(), return_inverse=True)
     top = np.zeros(at.max(initial=-1) + 1)
@@ -157,8 +164,8 @@ def guess(filters: Filters, batches: Batches, column: str):
     for batch, parts in pieces(batches, column):
         n = batch.num_rows
         hits, total, letters = np.zeros((n, known)), np.zeros(n), np.zeros(n, bool)
-        for index, raw, off in parts:
-            text, gram, has = trigrams(raw, off)
+        for index, raw, off, guards in parts:
+            text, gram, has = trigrams(raw, off, guards)
             letters[index] |= has
             total[index] += np.bincount(text, minlength=len(index))
             if len(gram) and known:
@@ -214,7 +221,12 @@ def keep(
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """The rows of ``docs``, whole, that are in a learned language with a score of ``least`` or more. Nothing is shuffled for it."""
+    """The rows of ``docs``, whole, that are in a learned language with a score of ``least`` or more. Nothing is shuffled for it.
+
+    Null, empty and letterless texts go, and all rows where nothing could be
+    learned. Repeated rows and null ids are kept or go like any other. Empty tables
+    give empty results. All columns are kept, whatever their names.
+    """
     learned = learn(_taught(docs, folds, held, id_col), floor=floor, text_col=text_col, lang_col=lang_col)
     filters = docs.sparkSession.sparkContext.broadcast(learned)
 

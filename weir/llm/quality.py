@@ -1,23 +1,30 @@
 """A quality classifier on random-indexing word vectors.
 
-Random indexing. Every token (a run of letters, digits or signs) has an index
-vector of a few +1 and -1, fixed by its hash; the word vector of a token is the
-sum of the index vectors of its neighbours over the whole corpus. Tokens are
-hashed into ``BUCKETS`` rows, so the vectors are one table of 1 MB, whatever the
-size of the corpus, summed exactly in whole numbers.
-
-A document is the mean of its tokens' word vectors and index vectors, the share
-of neighbouring tokens that are equal (next, and next but one) and its length. A
-network of two layers, written in numpy, is fitted to labelled rows, and its
-logits are divided by a temperature fitted on rows it has not seen.
-
-The corpus is read twice for all documents and nothing but the sums is shuffled;
-the network is fitted on the driver on ``sample`` labelled rows at most (those of
-the smallest hash of their id).
+Random indexing. Every word (a run of letters, digits or signs) has an index
+vector of four +1 and -1, fixed by its hash; its context vector is the sum of the
+index vectors of its neighbours over the whole corpus, and both together are its
+word vector. Words that make up at least ``floor`` of all words (1 / floor at
+most, whatever the size of the corpus) have a vector each; the rarer ones, about
+whose contexts little is known, share ``SHARED`` vectors by their hash. All words
+of the corpus are counted for that.
+
+A document is the mean of its word vectors, and of the products of the vectors of
+words that stand side by side or one apart: products bind two vectors to that of
+their pair, as usual for random indexing of sequences, so pairs are pooled like
+words. There is no other feature. A network of two layers, written in numpy, is
+fitted to labelled rows, and its logits are divided by a temperature fitted on
+rows it has not seen.
+
+Vectors hold whole numbers, so all sums are exact: the result does not depend on
+how rows are dealt or long texts are cut. The corpus is read three times for all
+documents; counts of words and sums of vectors are shuffled. The network is fitted
+on the driver on ``sample`` labelled rows at most (those of the smallest hash of
+their id among the rows that have a document).
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,82 +32,157 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, arrow_map, crc32_of_id
-from .runs import pieces, tokens
-
-BUCKETS, DIMS, NONZERO = 8192, 32, 4
-FEATURES = 2 * DIMS + 3
-PRIOR = 8  # tokens without any direction that every document is given
-
-
-def index_vectors() -> np.ndarray:
-    """A sparse ternary vector for each bucket."""
-    rng = np.random.default_rng(17)
-    out = np.zeros((BUCKETS, DIMS), np.int8)
-    at = np.argsort(rng.random((BUCKETS, DIMS)), axis=1)[:, :NONZERO]
-    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.int8), at.shape), 1)
+from .common import Batches, arrow_map, crc32_of_id, materialize
+from .runs import token_blocks
+
+SHARED, DIMS, NONZERO, UNIT = 4096, 32, 4, 64  # UNIT: length of half a word vector
+FLOOR = 2e-5
+REACH = (1, 2)  # distances of neighbours
+FEATURES = 2 * DIMS * (1 + len(REACH))
+PRIOR = 8  # words without any direction that every document is given
+
+
+def index_vectors(seeds: np.ndarray) -> np.ndarray:
+    """A sparse ternary vector for each seed: one +1 or -1 in each quarter."""
+    out = np.zeros((len(seeds), DIMS), np.int8)
+    with np.errstate(over="ignore"):
+        x = (seeds ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    rows = np.arange(len(seeds))
+    for q in range(NONZERO):
+        nibble = (x >> np.uint64(4 * q)).astype(np.int64) & 15
+        out[rows, q * (DIMS // NONZERO) + nibble % (DIMS // NONZERO)] = 1 - 2 * (nibble >> 3)
     return out
 
 
-def _buckets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    text, h = tokens(raw, off)
-    return text, (h >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.uint16)
-
-
-def _contexts(batches: Batches) -> Batches:
-    """Sums of the neighbours' index vectors, a row for each bucket that occurs."""
-    index = index_vectors()
-    total, count = np.zeros((BUCKETS, DIMS), np.int64), np.zeros(BUCKETS, np.int64)
-    for _, parts in pieces(batches):
-        for _, raw, off in parts:
-            text, b = _buckets(raw, off)
-            if not len(b):
-                continue
-            near = np.zeros((len(b), DIMS), np.int8)
-            for d in (1, 2):
-                same = np.flatnonzero(text[d:] == text[:-d]) if len(b) > d else np.zeros(0, np.int64)
-                near[same] += index[b[same + d]]
-                near[same + d] += index[b[same]]
-            order = np.argsort(b, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(b[order]) != 0]))
-            own = b[order][first]
-            total[own] += np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
-            count[own] += np.diff(np.append(first, len(b)))
-    own = np.flatnonzero(count)
-    columns = [pa.array(own.astype(np.int32)), pa.array(count[own]), *(pa.array(np.ascontiguousarray(total[own, k])) for k in range(DIMS))]
-    yield pa.RecordBatch.from_arrays(columns, names=["b", "n", *(f"c{k}" for k in range(DIMS))])
-
-
-def word_vectors(texts: DataFrame) -> np.ndarray:
-    """The table [word vector, index vector] of all buckets, from the whole corpus."""
+class Words:
+    """Rows of the vector table: the frequent words' own (by their sorted hashes), behind the shared ones."""
+
+    def __init__(self, own: np.ndarray):
+        self.own = own
+        self.index = index_vectors(np.concatenate([np.arange(SHARED, dtype=np.uint64), own]))
+
+    def rows(self, h: np.ndarray) -> np.ndarray:
+        shared = (h >> np.uint64(64 - (SHARED.bit_length() - 1))).astype(np.int64)
+        if not len(self.own):
+            return shared
+        at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
+        return np.where(self.own[at] == h, SHARED + at, shared)
+
+
+def _count(batches: Batches) -> Batches:
+    """Rows (word, n), added up within the task in steps of bounded size."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merge() -> tuple[np.ndarray, np.ndarray]:
+        word, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(word, kind="stable")
+        word, n = word[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        return word[first], np.add.reduceat(n, first)
+
+    def rows() -> pa.RecordBatch:
+        word, n = merge()
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    for _, blocks in token_blocks(batches):
+        for _, h, seen in blocks:
+            if len(h) > seen:
+                held.append(np.unique(h[seen:], return_counts=True))
+                size += len(held[-1][0])
+            if size > 400_000:
+                held = [merge()]
+                size = len(held[0][0])
+                if size > 300_000:
+                    yield rows()
+                    held, size = [], 0
+    if held:
+        yield rows()
+
+
+def frequent_words(texts: DataFrame, floor: float = FLOOR) -> np.ndarray:
+    """Sorted hashes of the words that make up at least ``floor`` of all words of ``texts``; 1 / floor at most."""
+    counted = arrow_map(texts.select("text"), _count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "word_counts")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    found = counted.where(F.col("n") >= max(1, math.ceil(floor * total))).select("word").toPandas()
+    return np.sort(found["word"].to_numpy(np.int64).view(np.uint64))
+
+
+def _contexts(sent):
+    """Sums of the neighbours' index vectors, a row for each row of the table that occurs."""
+
+    def run(batches: Batches) -> Batches:
+        words = sent.value
+        index = words.index
+        total, hit = np.zeros(index.shape, np.int64), np.zeros(len(index), bool)
+        for _, blocks in token_blocks(batches):
+            for text, h, seen in blocks:
+                if not len(h):
+                    continue
+                b = words.rows(h)
+                near = np.zeros((len(b), DIMS), np.int8)
+                for d in REACH:
+                    first = np.flatnonzero(text[d:] == text[:-d]) if len(b) > d else np.zeros(0, np.int64)
+                    first = first[first + d >= seen]
+                    near[first] += index[b[first + d]]
+                    near[first + d] += index[b[first]]
+                order = np.argsort(b, kind="stable")
+                cut = np.flatnonzero(np.concatenate([[True], np.diff(b[order]) != 0]))
+                own = b[order][cut]
+                total[own] += np.add.reduceat(near[order], cut, axis=0, dtype=np.int64)
+                hit[own] = True
+        own = np.flatnonzero(hit)
+        columns = [pa.array(own.astype(np.int32)), *(pa.array(np.ascontiguousarray(total[own, k])) for k in range(DIMS))]
+        yield pa.RecordBatch.from_arrays(columns, names=["b", *(f"c{k}" for k in range(DIMS))])
+
+    return run
+
+
+def word_vectors(texts: DataFrame, words: Words) -> np.ndarray:
+    """The table [context vector, index vector] of all rows, in whole numbers, from the whole corpus."""
     names = [f"c{k}" for k in range(DIMS)]
-    sums = arrow_map(texts.select("text"), _contexts, "b int, n long, " + ", ".join(f"{c} long" for c in names))
-    found = sums.groupBy("b").agg(*(F.sum(c).alias(c) for c in names)).toPandas()  # BUCKETS rows at most
-    context = np.zeros((BUCKETS, DIMS))
+    sent = texts.sparkSession.sparkContext.broadcast(words)  # SHARED + 1 / floor rows of 40 bytes at most
+    sums = arrow_map(texts.select("text"), _contexts(sent), "b int, " + ", ".join(f"{c} long" for c in names))
+    found = sums.groupBy("b").agg(*(F.sum(c).alias(c) for c in names)).toPandas()  # as many rows
+    context = np.zeros(words.index.shape)
     context[found["b"].to_numpy(np.int64)] = found[names].to_numpy(np.float64)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
-    return np.hstack([context / np.where(norm > 0, norm, 1), index_vectors() / np.sqrt(NONZERO)]).astype(np.float32)
+    return np.hstack([np.rint(context / np.where(norm > 0, norm, 1) * UNIT), words.index * (UNIT / np.sqrt(NONZERO))]).astype(np.int8)
 
 
-def _features(batches: Batches, table: np.ndarray, column: str):
+def _features(batches: Batches, words: Words, table: np.ndarray, column: str):
     """(rows, features) slice by slice."""
-    for batch, parts in pieces(batches, column):
+    for batch, blocks in token_blocks(batches, column):
         n = batch.num_rows
-        pooled, count, equal = np.zeros((n, 2 * DIMS)), np.zeros(n), np.zeros((n, 2))
-        for rows, raw, off in parts:
-            text, b = _buckets(raw, off)
-            if not len(b):
-                continue
-            first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-            own = rows[text[first]]
-            pooled[own] += np.add.reduceat(table[b], first, axis=0)
-            count[own] += np.diff(np.append(first, len(b)))
-            for d in (1, 2):
-                if len(b) > d:
-                    hit = (text[d:] == text[:-d]) & (b[d:] == b[:-d])
-                    equal[:, d - 1] += np.bincount(rows[text[:-d][hit]], minlength=n)
-        share = 1 / (count + PRIOR)[:, None]  # a few tokens say little: they stay near the origin
-        yield batch, np.hstack([pooled * share, equal * share, np.log1p(count)[:, None] / 10])
+        single, pairs, count = np.zeros((n, 2 * DIMS)), np.zeros((len(REACH), n, 2 * DIMS)), np.zeros(n)
+        for text, h, seen in blocks:
+            for k in range(0, len(h), CHUNK):  # with the words that stand before it
+                lead = min(k, max(REACH)) if k else seen
+                _pool(text[k - (lead if k else 0) : k + CHUNK], table[words.rows(h[k - (lead if k else 0) : k + CHUNK])], lead, single, pairs, count)
+        share = 1 / (count + PRIOR)[:, None]  # a few words say little: they stay near the origin
+        yield batch, np.hstack([single * share / UNIT, *(p * share / UNIT**2 for p in pairs)])
+
+
+CHUNK = 50_000  # words pooled at a time
+
+
+def _pool(text: np.ndarray, v: np.ndarray, seen: int, single: np.ndarray, pairs: np.ndarray, count: np.ndarray) -> None:
+    """Add up vectors ``v`` of words, and products of pairs, by text; the first ``seen`` words are only the left of pairs."""
+
+    def by_text(owner: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
+        if len(owner):
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            out[owner[first]] += np.add.reduceat(values, first, axis=0, dtype=np.int64)
+
+    by_text(text[seen:], v[seen:], single)
+    count += np.bincount(text[seen:], minlength=len(count))
+    wide = v.astype(np.int16)
+    for d, out in zip(REACH, pairs, strict=True):
+        right = np.arange(max(seen, d), len(text))
+        right = right[text[right] == text[right - d]]
+        by_text(text[right], wide[right] * wide[right - d], out)
 
 
 @dataclass
@@ -166,43 +248,54 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 80, seed:
 
 @dataclass
 class Scorer:
-    """What scoring needs: the vectors and the network, each sent to every executor once (1 MB in all)."""
+    """What scoring needs: the words, their vectors and the network, each sent to every executor once (a few MB in all)."""
 
+    words: object
     table: object
     network: object
 
     def batches(self, batches: Batches, column: str):
         """(rows, their scores), slice by slice."""
-        for batch, x in _features(batches, self.table.value, column):
+        for batch, x in _features(batches, self.words.value, self.table.value, column):
             yield batch, self.network.value.score(x)
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    sample: int = 20_000,
+    folds: int = 5,
+    floor: float = FLOOR,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
 ) -> Scorer:
     """Word vectors from all of ``docs``, and a network from at most ``sample`` labelled rows of it.
 
     Rows whose crc32 of the id (as text) leaves 0 by ``folds`` are held out and
     teach no label. Labels that are null, and ids that are null, teach nothing; an
     id labelled twice counts with its smallest label; ids without a document are
-    ignored.
+    left out before the sample is taken.
     """
-    spark = docs.sparkSession
+    send = docs.sparkSession.sparkContext.broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    table = spark.sparkContext.broadcast(word_vectors(texts))
+    known_words = Words(frequent_words(texts, floor))
+    words, table = send(known_words), send(word_vectors(texts, known_words))
     taught = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (crc32_of_id(F.col(id_col)) % folds != 0))
     taught = taught.groupBy(F.col(id_col).alias("id")).agg((F.min(label_col) > 0).cast("double").alias("y"))
-    chosen = taught.select("id", "y", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample)
+    taught = taught.join(texts.select("id").distinct().hint("merge"), "id", "left_semi")  # ids of both grow with the corpus
+    chosen = materialize(taught.select("id", "y", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample), "labelled")
     known = texts.join(F.broadcast(chosen), "id").select("text", "h", "y")  # ``sample`` rows of 24 bytes at most
 
     def features(batches: Batches) -> Batches:
-        for batch, x in _features(batches, table.value, "text"):
+        for batch, x in _features(batches, words.value, table.value, "text"):
             rows = pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), rows], names=["h", "y", "x"])
 
     found = arrow_map(known, features, "h long, y double, x binary").orderBy("h", "x").limit(sample).toPandas()
     x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, FEATURES).astype(np.float64)
-    return Scorer(table, spark.sparkContext.broadcast(fit(x, found["y"].to_numpy(np.float64))))
+    return Scorer(words, table, send(fit(x, found["y"].to_numpy(np.float64))))
 
 
 def score(
@@ -230,7 +323,12 @@ def score(
 
 
 def keep(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, whole, that ``score`` predicts as good. Nothing is shuffled for it."""
+    """The rows of ``docs``, whole, that ``score`` predicts as good. No text is shuffled for it.
+
+    Null and empty texts have a score like any other. Repeated rows and null ids
+    are kept or go like any other. Without labels every score is 0.5. Empty tables
+    give empty results. All columns are kept, whatever their names.
+    """
     scorer = train(docs, labels, text_col=text_col, **options)
 
     def run(batches: Batches) -> Batches:
