@@ -5,16 +5,28 @@ the longest run of anchors that is in order in both is kept, and the gaps betwee
 them are aligned the same way, with fewer words to be unique among. The coverage
 is the share of the template's words that were aligned.
 
-A long text is aligned window by window (two and three template lengths every
-template length, so any place of up to two lengths lies whole in one), and only windows that hold enough of the
-template's words at all. Words are compared as hashes, found for a slice of texts
-at once. Only rows with a match leave the scan.
+A place of a template is a span of at most ``stretch`` template lengths that
+covers enough of it and holds all that names the license: words in braces in a
+template must be aligned, those of one pair of braces side by side, so another
+version or variant is no match. Places are looked for in windows of several
+sizes, half as large again as the spans of that size, a sixth of a window apart:
+a span lies whole in one of them, and in a window hardly larger than itself, where
+a license beside it hardly keeps its words from being unique; what was aligned is
+aligned again in the span that it reaches over. All places that do not overlap a better one are given, of every license; a place inside a longer
+one of another license goes (a notice that quotes part of a text is that text).
+
+Words are compared as hashes, found for a slice of texts at once. A text or window
+that holds too few of a template's words, each counted as often as the template
+has it at most, cannot cover enough of it and is not aligned; that changes no
+result. Only rows with a match leave the scan.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Batches, arrow_map, small_slices, text_bytes
 from .runs import tokens
 
-#: Texts of licenses and of the notices that name one.
+#: Texts of licenses and of the notices that name one; in braces what names it.
 TEMPLATES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
@@ -35,28 +47,72 @@ IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
 CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
 CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+    "Apache-2.0-header": """Licensed under the {Apache License}, Version {2.0} (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
 required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
 BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
 governing permissions and limitations under the License.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
+of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution.""",
     "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
 that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
 of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
 this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+distribution. 3. {Neither} the name of the copyright holder nor the names of its contributors may be used to {endorse} or
 promote products derived from this software without specific prior written permission.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
 granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
-General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+    "GPL-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the {GNU
+General Public License} as published by the Free Software Foundation; either {version 2} of the License, or (at your option)
+any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+details.""",
+    "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the {GNU
+General Public License} as published by the Free Software Foundation, either {version 3} of the License, or (at your option)
 any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
 the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
 details.""",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
+    "LGPL-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the {GNU
+Lesser General Public License} as published by the Free Software Foundation; either {version 2.1} of the License, or (at your
+option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
+even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License
+for more details.""",
+    "AGPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the {GNU
+Affero General Public License} as published by the Free Software Foundation, either {version 3} of the License, or (at your
+option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
+even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License
+for more details.""",
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the {Mozilla Public License}, v. {2.0}. If a copy of the MPL
+was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is
+not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+purpose, commercial or non-commercial, and by any means.""",
+    "GPL-2.0-notice": "This work is licensed under the {GNU General Public License}, version {2}.",
+    "GPL-3.0-notice": "This work is licensed under the {GNU General Public License}, version {3}.",
+    "LGPL-3.0-notice": "This work is licensed under the {GNU Lesser General Public License}, version {3}.",
+    "AGPL-3.0-notice": "This work is licensed under the {GNU Affero General Public License}, version {3}.",
+    "CC-BY-4.0-notice": "Licensed under {CC BY 4.0}.",
+    "CC-BY-SA-4.0-notice": "Licensed under {CC BY-SA 4.0}.",
+    "CC-BY-ND-4.0-notice": "Licensed under {CC BY-ND 4.0}.",
+    "CC-BY-NC-4.0-notice": "Licensed under {CC BY-NC 4.0}.",
+    "CC-BY-NC-SA-4.0-notice": "Licensed under {CC BY-NC-SA 4.0}.",
+    "CC-BY-NC-ND-4.0-notice": "Licensed under {CC BY-NC-ND 4.0}.",
+    "CC0-1.0-notice": "Dedicated to the public domain under {CC0 1.0}.",
+    "MIT-notice": "Released under the {MIT} License.",
+    "BSD-notice": "Released under the {BSD} License.",
+    "ISC-notice": "Released under the {ISC} License.",
+    "Apache-2.0-notice": "Licensed under the {Apache License}, Version {2.0}.",
+    "MPL-2.0-notice": "Licensed under the {Mozilla Public License}, Version {2.0}.",
 }
 
 
@@ -81,11 +137,17 @@ def _longest_rising(values: list[int]) -> list[int]:
 
 
 def align(a: list, b: list) -> list[tuple[int, int]]:
-    """Pairs (place in a, place in b) of aligned words, rising in both."""
+    """Pairs (place in a, place in b) of aligned words, rising in both. Equal words at the ends of a gap are aligned first."""
     out = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append((a1, b1))
         if a0 >= a1 or b0 >= b1:
             continue
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
@@ -114,6 +176,34 @@ def template_words(text: str) -> np.ndarray:
     return _words(raw, np.array([0, len(raw)]))[1]
 
 
+@dataclass
+class Template:
+    """A template's words, and where those stand that must be aligned: (place, whether the next must stand beside it)."""
+
+    words: list[int]
+    names: list[tuple[int, bool]]
+
+    @staticmethod
+    def of(text: str) -> Template:
+        found, names = [], []
+        for k, part in enumerate(re.split(r"[{}]", text)):
+            own = template_words(part).tolist()
+            if k % 2:
+                names += [(len(found) + i, i + 1 < len(own)) for i in range(len(own))]
+            found += own
+        return Template(found, names)
+
+
+def plain(template: str) -> str:
+    """The template as it stands in texts."""
+    return template.replace("{", "").replace("}", "")
+
+
+def _names_hold(pairs: list[tuple[int, int]], template: Template) -> bool:
+    at = {j: i for i, j in pairs}
+    return all(j in at and (not beside or at.get(j + 1) == at[j] + 1) for j, beside in template.names)
+
+
 def _densest(pairs: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
     """The longest run of pairs that spans at most ``width`` words, the narrowest and first of such."""
     best, i = (0, 0, 0, 0), 0
@@ -124,64 +214,96 @@ def _densest(pairs: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
     return pairs[-best[2] : 1 - best[3]] if best[0] else []
 
 
-def find(words: np.ndarray, template: np.ndarray, coverage: float) -> tuple[float, int, int, int] | None:
-    """(coverage, first word, end, places) of the best place of ``template`` in ``words`` that covers enough of it."""
-    n, need = len(template), max(1, int(np.ceil(coverage * len(template))))
-    hit = np.isin(words, template)
-    total = np.concatenate([[0], np.cumsum(hit)])
-    starts = np.arange(0, max(1, len(words) - n), n)
-    ends = np.minimum(starts + 2 * n, len(words))
-    t, best, near = template.tolist(), None, []  # near: for each window {span: aligned words}
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        spans: dict[tuple[int, int], int] = {}
-        near.append(spans)
-        if total[e] - total[s] < need:
-            continue
-        part = words[s:e]
-        # the window, and where a repeated notice leaves it no unique words, from each place where the template may begin
-        for b, w in [(s, part), *((s + int(k), part[k : k + n]) for k in np.flatnonzero(part == template[0]))]:
-            pairs = align(w.tolist(), t)
-            if len(pairs) >= need and pairs[-1][0] - pairs[0][0] < 2 * n:
-                span = (b + pairs[0][0], b + pairs[-1][0] + 1)
-                spans[span] = len(pairs)
-                key = (len(pairs) / n, -(span[1] - span[0]), -span[0])
-                if best is None or key > best[0]:
-                    best = (key, span)
-    # a place of up to 2n words that both windows of 2n cut lies whole in three template lengths
-    for k, s in enumerate(starts.tolist()):
-        e = min(s + 3 * n, len(words))
-        if total[e] - total[s] < need:
+def windows(n_words: int, n: int, stretch: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of all windows: for each size of span up to ``stretch`` template lengths those in which any such span lies."""
+    begins, ends, size = [], [], n
+    while True:
+        size = min(size, stretch * n)
+        width, step = size + -(-size // 2), max(1, size // 4)
+        begins.append(np.arange(0, max(1, n_words - width + step), step))
+        ends.append(np.minimum(begins[-1] + width, n_words))
+        if size == stretch * n:
+            return np.concatenate(begins), np.concatenate(ends)
+        size *= 2
+
+
+def _aligned(words: np.ndarray, hit: np.ndarray, template: list[int], width: int) -> list[tuple[int, int]]:
+    """Pairs of the densest place; ``hit``: where words of the template stand, as others align with nothing."""
+    places = hit.tolist()
+    return _densest([(places[i], j) for i, j in align(words[hit].tolist(), template)], width)
+
+
+def find(words: np.ndarray, template: Template, coverage: float, stretch: int = 4) -> list[tuple[int, int, int]]:
+    """(aligned words, first word, end) of every place of ``template`` in ``words``, in order."""
+    n = len(template.words)
+    need = max(1, int(np.ceil(coverage * n)))
+    own, limit = np.unique(np.array(template.words, np.uint64), return_counts=True)
+    number = np.minimum(np.searchsorted(own, words), len(own) - 1)
+    hit = np.flatnonzero(own[number] == words)
+    number = number[hit]
+    first, last = (np.searchsorted(hit, x) for x in windows(len(words), n, stretch))
+    found, seen = set(), set()
+    for k in np.flatnonzero(last - first >= need).tolist():
+        a, b = int(first[k]), int(last[k])
+        if (a, b) in seen or np.minimum(np.bincount(number[a:b], minlength=len(own)), limit).sum() < need:
             continue
-        pairs = _densest(align(words[s:e].tolist(), t), 2 * n)
-        if len(pairs) < need:
+        seen.add((a, b))
+        pairs = _aligned(words, hit[a:b], template.words, stretch * n)
+        if pairs:  # once more with just what the template reaches over: words beside it may have kept its own from being unique
+            a, b = np.searchsorted(hit, (pairs[0][0] - pairs[0][1], pairs[-1][0] + n - pairs[-1][1]))
+            pairs = max(pairs, _aligned(words, hit[a:b], template.words, stretch * n), key=len)
+        if len(pairs) >= need and _names_hold(pairs, template):
+            found.add((len(pairs), pairs[0][0], pairs[-1][0] + 1))
+    return apart(sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])))
+
+
+def apart(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of places, the best first, those that do not overlap a better one; in order of the text."""
+    kept: list[tuple[int, int, int]] = []
+    for n, s, e in places:
+        k = bisect.bisect_left(kept, s, key=lambda x: x[1])
+        if (k == 0 or kept[k - 1][2] <= s) and (k == len(kept) or kept[k][1] >= e):
+            kept.insert(k, (n, s, e))
+    return kept
+
+
+def find_all(words: np.ndarray, templates: dict[str, Template], coverage: float, stretch: int = 4) -> list[tuple[str, int, float, int, int]]:
+    """(license, place, coverage, first word, end) of all places but those inside a longer one of another license."""
+    found = [(n, s, e, k) for k, t in templates.items() for n, s, e in find(words, t, coverage, stretch)]
+    found.sort(key=lambda x: (x[1], -x[2], -x[0], x[3]))
+    out, around = [], []  # around: places that reach further than all before them, so the last reaches furthest
+    for n, s, e, k in found:
+        if around and any(e <= e2 and n <= n2 and k != k2 and (n < n2 or s2 < s or e < e2) for n2, s2, e2, k2 in around):
             continue
-        span = (s + pairs[0][0], s + pairs[-1][0] + 1)
-        around = [(m, x) for m in range(max(0, k - 2), min(len(near), k + 4)) for x in near[m] if x[0] < span[1] and span[0] < x[1]]
-        if all(near[m][x] < len(pairs) for m, x in around):
-            for m, x in around:
-                del near[m][x]
-            near[k][span] = len(pairs)
-            key = (len(pairs) / n, -(span[1] - span[0]), -span[0])
-            if best is None or key > best[0]:
-                best = (key, span)
-    return (best[0][0], *best[1], len({x for spans in near for x in spans})) if best else None
-
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id_col>, license, coverage, first_word, end_word, places`` for every text and template that covers enough.
-
-    Word numbers count runs of letters and of digits. Null, empty and wordless
-    texts match nothing. Repeated rows are given back as often as they come, null
-    ids are kept, empty tables give empty results, other columns are ignored.
+        out.append((k, n / len(templates[k].words), s, e))
+        around = [x for x in around if x[2] > s] + [(n, s, e, k)]
+    order: dict[str, int] = {}
+    rows = []
+    for k, c, s, e in out:
+        rows.append((k, order.setdefault(k, 0), c, s, e))
+        order[k] += 1
+    return rows
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, coverage: float = 0.8, stretch: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``<id_col>, license, place, coverage, first_word, end_word``: every place of a template in every text.
+
+    ``place`` numbers a license's places in a text from 0. Word numbers count runs
+    of letters and of digits. Of overlapping places of one license the one with
+    more words is given, of equal ones the narrowest, then the first. A span has at
+    most ``stretch`` template lengths. Null, empty and wordless texts match
+    nothing. Repeated rows are given back as often as they come, null ids are kept,
+    empty tables give empty results, other columns are ignored.
     """
-    known = {k: template_words(v) for k, v in (TEMPLATES if templates is None else templates).items()}
-    known = {k: v for k, v in known.items() if len(v)}
+    known = {k: Template.of(v) for k, v in (TEMPLATES if templates is None else templates).items()}
+    known = {k: v for k, v in known.items() if v.words}
     if not known:
-        known = {"none": np.zeros(1, np.uint64)}  # no text holds it
-    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *known.values()]))
-    in_template = np.array([np.isin(vocabulary, v) for v in known.values()]).reshape(len(known), -1).T  # words x templates
-    need = np.array([max(1, int(np.ceil(coverage * len(v)))) for v in known.values()])
-    names, templates_ = list(known), list(known.values())
+        known = {"none": Template([0], [])}  # no text holds it
+    vocabulary = np.unique(np.concatenate([np.array(v.words, np.uint64) for v in known.values()]))
+    limit = np.zeros((len(known), len(vocabulary)), np.int64)
+    for k, t in enumerate(known.values()):
+        np.add.at(limit[k], np.searchsorted(vocabulary, np.array(t.words, np.uint64)), 1)
+    need = np.array([max(1, int(np.ceil(coverage * len(v.words)))) for v in known.values()])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Batches) -> Batches:
@@ -189,20 +311,22 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, coverage:
             raw, off = text_bytes(batch.column(1))
             text, words = _words(raw, off)
             at = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            hit = np.flatnonzero(np.isin(words, vocabulary))
-            number = np.searchsorted(vocabulary, words[hit])
+            number = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+            hit = np.flatnonzero(vocabulary[number] == words)
+            number = number[hit]
             cut = np.searchsorted(hit, at)
             rows, found = [], []
-            for d in range(batch.num_rows):
-                enough = in_template[number[cut[d] : cut[d + 1]]].sum(axis=0) >= need
-                for k in np.flatnonzero(enough).tolist():
-                    place = find(words[at[d] : at[d + 1]], templates_[k], coverage)
-                    if place:
-                        rows.append(d)
-                        found.append((names[k], *place))
+            for d in np.flatnonzero(np.diff(cut) >= need.min()).tolist():
+                count = np.bincount(number[cut[d] : cut[d + 1]], minlength=len(vocabulary))
+                enough = np.minimum(count, limit).sum(axis=1) >= need
+                if enough.any():
+                    some = {k: t for (k, t), ok in zip(known.items(), enough.tolist(), strict=True) if ok}
+                    places = find_all(words[at[d] : at[d + 1]], some, coverage, stretch)
+                    rows += [d] * len(places)
+                    found += places
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            cols = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([ids, *cols], names=["id", "license", "coverage", "first_word", "end_word", "places"])
+            cols = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([ids, *cols], names=["id", "license", "place", "coverage", "first_word", "end_word"])
 
-    found = arrow_map(texts, run, f"id {dict(texts.dtypes)['id']}, license string, coverage double, first_word int, end_word int, places int")
+    found = arrow_map(texts, run, f"id {dict(texts.dtypes)['id']}, license string, place int, coverage double, first_word int, end_word int")
     return found.withColumnRenamed("id", id_col)
