@@ -3,6 +3,8 @@ from __future__ import annotations
 import html
 import re
 
+from pyspark.sql import functions as F
+
 from weir.llm import pages
 from weir.llm.queries import op9_html_extraction
 
@@ -86,7 +88,7 @@ def test_odd_rows(spark):
 
 
 def test_template_of_a_host(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id AS id", "url", "html")
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("lower(regexp_extract(url, '//([^/]+)', 1)) AS host", "html")
     found = pages.templates(df).collect()
     assert len({r["slot"] for r in found}) == 1 and found[0]["slot"] != 0
 
@@ -102,3 +104,88 @@ def test_headline_and_lead_outside_the_innermost_div(spark):
     got = run(spark, *rows, *[(100 + i, "http://c.example/", beside(i)) for i in range(3)])
     assert [got[i] for i in range(6)] == [want(i) for i in range(6)] and got[50] == want(5)
     assert [got[100 + i] for i in range(3)] == [f"{words[i]}{i} tells {body(i)}" for i in range(3)]
+
+
+def host_pages(n, inside="", around=lambda i: ""):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    body = lambda i: " ".join(f"{w}{i}" for w in words * 8)
+    return [f"<body><nav><ul><li>Start</ul></nav>{around(i)}<article><h1>{words[i % 10]} {i}</h1><p>{body(i)}</p>{inside}</article><footer>Foot {i}</footer></body>" for i in range(n)], [f"{words[i % 10]} {i} {body(i)}" for i in range(n)]
+
+
+def test_nothing_in_the_core_goes_by_its_name(spark):
+    """Class names and unusual elements inside the article are text like any other."""
+    lost = [
+        "<p class=social>one {i}</p>", "<h2 id=share-price>two {i}</h2>", "<section class=related-work><p>three {i}</p></section>", "<div class=navy>four {i}</div>",
+        "<p>five <math><mi>x{i}</mi></math></p>", "<p>six <svg><text>s{i}</text></svg></p>", "<p><button>seven {i}</button></p>", "<p><select><option>eight {i}</select></p>",
+        "<div class=login>nine {i}</div>", "<div class=widget>ten {i}</div>", "<p class=breadcrumb>eleven {i}</p>",
+    ]
+    html_, text = host_pages(6)
+    rows, want = [], {}
+    for k, part in enumerate(lost):
+        for i in range(6):
+            n = 10 * k + i
+            rows.append((n, f"http://h{k}.example/{i}", html_[i].replace("</article>", part.format(i=n) + "</article>")))
+            want[n] = f"{text[i]} " + " ".join(re.sub(r"<[^>]*>", "", part.format(i=n)).split())
+    assert run(spark, *rows) == want
+
+
+def test_class_names_are_not_needed(spark):
+    """The same texts come without the names: adverts are told by standing on many pages."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = df.withColumn("html", F.regexp_replace("html", ' class="[^"]*"', ""))
+    texts = lambda d: sorted((r["page_id"], r["text"]) for r in pages.extract(d).collect())
+    assert bare.where("html LIKE '%class=%'").isEmpty() and texts(bare) == texts(df)
+
+
+def test_repeated_rows_change_nothing(spark):
+    page = lambda i: f"<body><div class=a><div class=b><p>head {i} {'one ' * i}</p><p>body {'of this page ' * (9 + i)}</p></div><div class=c><p>tail{i} words{i}</p></div></div><div class=d><p>All rights</p></div></body>"
+    rows = [(i, "http://r.example/", page(i)) for i in range(20)]
+    once = run(spark, *rows)
+    assert all(once[i].endswith(f"tail{i} words{i}") for i in range(20))
+    assert run(spark, *rows, *rows) == once
+    assert run(spark, *rows, *rows[:3] * 30) == once
+    assert run(spark, *[(None if i % 2 else i, u, h) for i, u, h in rows])[0] == once[0]
+    alone = [(1, "http://s.example/", host_pages(1)[0][0])]
+    assert run(spark, *alone * 15) == {1: host_pages(1)[1][0]}  # copies of one page say nothing about its host
+
+
+def test_adverts_of_many_hosts(spark):
+    """An advert in an unnamed block differs from page to page of a host, but stands on pages of other hosts."""
+    ads = [f"Buy number {k} of our wonderful things now" for k in range(6)]
+    rows, want = [], {}
+    for h in range(6):
+        html_, text = host_pages(6, around=lambda i: f"<div><p>{ads[(i + h) % 6]}</p></div>")  # noqa: B023
+        for i in range(6):
+            rows.append((10 * h + i, f"http://h{h}.example/{i}", html_[i].replace("0", str(h))))
+            want[10 * h + i] = text[i].replace("0", str(h))
+    got = run(spark, *rows)
+    assert {k: v for k, v in got.items() if "Buy" in v} == {}
+    assert got == want
+
+
+def slow_slot(htmls):
+    """The path of a host's slot from whole occurrence vectors, without hashes of them."""
+    found = [pages.blocks(h) for h in htmls]
+    paths = {p for _, e in found for p in e}
+    vector = {p: tuple(e[p][0] if p in e else 0 for _, e in found) for p in paths}
+    classes = {}
+    for p in paths:
+        if sum(n == 1 for n in vector[p]) == sum(n > 0 for n in vector[p]) >= 0.9 * len(htmls):
+            classes.setdefault(vector[p], []).append(p)
+    valid = {p for c in classes.values() if len(c) > 1 or len(htmls) == 1 for p in c}
+    size = lambda p: sum(len(t) for b, _ in found for path, apart, named, t in b if not apart and not named and p in path)
+    info = {p: e[p] for _, e in found for p in e}
+    full = [p for p in valid if info[p][2] in pages.CONTAINERS and size(p) >= 0.8 * size(pages.ROOT)]
+    named = [p for p in full if info[p][2] in ("article", "main")]
+    return min(named, key=lambda p: info[p][1]) if named else max(full, key=lambda p: info[p][1])
+
+
+def test_slots_against_a_slow_deduction(spark, sf_dir):
+    hosts = {}
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        hosts.setdefault(re.match(r"\w+://([^/]+)", r["url"])[1].lower(), []).append(r["html"])
+    for i in range(6):
+        hosts.setdefault("unnamed.example", []).append(f"<body><div class=x><p>Home {i}</p></div><div class=y><div class=z><p>{'text ' * 40}{i}</p></div></div></body>")
+    df = spark.createDataFrame([(h, p) for h, own in hosts.items() for p in own], "host string, html string")
+    got = {r["host"]: r["slot"] for r in pages.templates(df).collect()}
+    assert got == {h: slow_slot(list(dict.fromkeys(own))) for h, own in hosts.items()}
