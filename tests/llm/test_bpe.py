@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weir.llm import bloom, bpe
@@ -49,7 +50,7 @@ def test_special_tokens_and_unknown_files(codec, library):
     import public_tokenizers
 
     other = bpe.load(public_tokenizers.path("word_bpe_49k.json"))
-    assert not other.breaks
+    assert not other.splits
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert other.encode("Hello there").tolist() == t.encode("Hello there", add_special_tokens=False).ids
 
@@ -72,18 +73,81 @@ def test_joins_are_repaired_exactly(spark, library):
     assert got == sorted((i, tuple(library.encode(t, add_special_tokens=False).ids)) for i, t in corpus)
 
 
-def test_bodies_join_exactly_anywhere(library):
+def known_chunks(codec, raw, some=lambda k: True):
+    """Chunks of a text as if each had been encoded elsewhere."""
+    owner, begin, end = bpe.chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert (owner == 0).all() and (begin[1:] >= end[:-1]).all()
+    return [(b, e, bpe.pack_chunk(codec, raw[b:e])) for k, (b, e) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)) if some(k)]
+
+
+def test_chunks_join_exactly(codec, library):
     for _, text in shared_corpus()[:12]:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        owner, begin, end = bpe.bodies(raw, np.array([0, len(raw)]))
-        assert len(begin) and (owner == 0).all() and (begin[1:] >= end[:-1]).all()
-        ids, done = [], 0
-        for b, e in zip(begin.tolist(), end.tolist(), strict=True):
-            for part in (raw[done:b], raw[b:e]):
-                ids += library.encode(part.tobytes().decode(), add_special_tokens=False).ids
-            done = e
-        ids += library.encode(raw[done:].tobytes().decode(), add_special_tokens=False).ids
-        assert ids == library.encode(text, add_special_tokens=False).ids
+        for some in (lambda k: True, lambda k: k % 2, lambda k: k % 3 == 0):
+            ids, taken = bpe.join(codec, text.encode(), known_chunks(codec, text.encode(), some))
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and taken > 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.sampled_from(["the", " ", "  ", "\n", "'", "'s", "'ll", "re", " don't", "é", "日本語", "，", "12", "!!", "<|endoftext|>", "<|endo", "\t", "   ", "%%%", "ß", "\U0001F600", "\u0558", "\u3000"]), max_size=200),
+    st.lists(st.integers(0, 2000), max_size=6),
+    st.integers(0, 255),
+)
+def test_joins_at_any_place(codec, library, parts, places, which):
+    """Pieces cut anywhere, not only by the rolling hash, join to the library's ids."""
+    text = "".join(parts)
+    raw = text.encode()
+    cuts = sorted({0, len(raw), *(p for p in places if p < len(raw) and raw[p] & 0xC0 != 0x80)})
+    known = [(a, b, bpe.pack_chunk(codec, raw[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if which >> k & 1]
+    assert bpe.join(codec, raw, known)[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_splits_are_the_librarys(codec, library):
+    settled = bpe._settled()
+    for c in (chr(i) for i in range(0x30000) if settled[i] and not 0xD800 <= i < 0xE000):
+        for text in (f"a{c}1  b", f".{c}{c}'s"):
+            assert bpe.pretokens(codec, text.encode()).tolist() == [len(text[:e].encode()) for _, (_, e) in library.pre_tokenizer.pre_tokenize_str(text)]
+    for text in ("a 😀😀 b" + " c" * 20, "x\u0558y"):  # further than that nothing is taken for certain
+        ends = bpe.pretokens(codec, text.encode()).tolist()
+        assert all(e < 2 for e in ends)
+
+
+def test_chinese_texts_share_chunks(spark, codec, library, monkeypatch):
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choice("的一是不了人我在有他这为之大来以个中上们") if rng.random() < 0.95 else rng.choice("，。") for _ in range(n))
+    passage = make(20_000)
+    ids, taken = bpe.join(codec, passage.encode(), known_chunks(codec, passage.encode()))
+    assert taken > 0.7 * len(ids) and ids.tolist() == library.encode(passage, add_special_tokens=False).ids
+    corpus = [(i, make(50 * i) + passage + make(33 * i)) for i in range(6)]
+    kept = tables(monkeypatch)
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(spark.createDataFrame(corpus, "doc_id long, text string"), vocabulary()).collect()}
+    assert got == {i: library.encode(t, add_special_tokens=False).ids for i, t in corpus}
+    assert kept["shared_chunks"].count() > 20
+
+
+def test_a_chunk_that_very_many_texts_hold(spark, library, monkeypatch):
+    monkeypatch.setattr(bpe, "HOT_CHUNK", 5)
+    monkeypatch.setattr(bpe, "HOT_TEXT", 3)
+    rng = random.Random(8)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(1500))
+    corpus = [(i, f"{i} {passage}") for i in range(40)] + [(i, passage) for i in range(20)]
+    kept = tables(monkeypatch)
+    got = sorted((r["doc_id"], tuple(r["ids"])) for r in bpe.encode(spark.createDataFrame(corpus, "doc_id long, text string"), vocabulary()).collect())
+    assert got == sorted((i, tuple(library.encode(t, add_special_tokens=False).ids)) for i, t in corpus)
+    parts = {(r["h1"], r["h2"], r["part"]): r["n"] for r in kept["uses"].groupBy("h1", "h2", "part").agg(F.count("*").alias("n")).collect()}
+    assert len({p for _, _, p in parts}) > 4 and max(parts.values()) < 30
+
+
+def tables(monkeypatch):
+    """The intermediate tables that the operator writes, by name."""
+    kept, real = {}, bpe.materialize
+
+    def spy(df, name):
+        kept[name] = real(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(bpe, "materialize", spy)
+    return kept
 
 
 def test_cuts_follow_content(monkeypatch):
@@ -103,20 +167,11 @@ def test_shared_chunks_are_encoded_once(spark, monkeypatch):
     rng = random.Random(4)
     passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000))
     docs = spark.createDataFrame([(i, f"{i} {passage}") for i in range(30)], "doc_id long, text string")
-    kept = []
-    real = bpe.materialize
-
-    def spy(df, name):
-        out = real(df, name)
-        kept.append((name, out))
-        return out
-
-    monkeypatch.setattr(bpe, "materialize", spy)
+    kept = tables(monkeypatch)
     bpe.encode(docs, vocabulary()).count()
-    tables = dict(kept)
-    shared, encoded = tables["shared_chunks"].count(), tables["encoded_chunks"].count()
+    shared, encoded = kept["shared_chunks"].count(), kept["shared_work"].where(F.col("kind") == bpe.CHUNK).count()
     assert shared > 10 and shared <= encoded <= shared + 2
-    assert tables["uses"].count() >= 29 * shared
+    assert kept["uses"].count() >= 29 * shared
 
 
 def test_odd_rows(odd_docs, no_docs, library):

@@ -24,10 +24,12 @@ BATCH_ROWS = 2000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (as in tests) a local one is made and set.
+    Only in local mode, where no machine is another, one is made and set if there is none.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="weir-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -69,6 +71,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def heavy(counts: DataFrame, key: list[str], n: str, least: int, most: int) -> DataFrame:
+    """``key, parts`` of the keys to be dealt into several parts: those with over ``least`` rows and over 1 / ``most`` of all.
+
+    ``counts`` has a row a key with its number of rows. No more than ``most`` keys
+    can have so many, whatever the table, so the result may be broadcast.
+    """
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()["n"]
+    bound = max(least, total // most)
+    hot = counts.where(F.col(n) > bound).select(*key, F.ceil(F.col(n) / bound).cast("long").alias("parts"))
+    return materialize(hot, "heavy_keys")
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that no column has."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, count: str, out: str, chunk: int = 100_000) -> DataFrame:
+    """Each row as often as its (long) ``count`` says, numbered from 0 in ``out``.
+
+    Rows of more than ``chunk`` are dealt to tasks in ranges of as many, so one row
+    that stands for a third of a table is no single task's work.
+    """
+    (lo,) = unused([*df.columns, out], "lo")
+    n, zero = F.col(count), F.lit(0).cast("long")
+    small = df.where((n > 0) & (n <= chunk)).withColumn(out, F.explode(F.sequence(zero, n - 1)))
+    ranges = df.where(n > chunk).withColumn(lo, F.explode(F.sequence(zero, n - 1, F.lit(chunk).cast("long")))).repartition(F.col(lo))
+    large = ranges.withColumn(out, F.explode(F.sequence(F.col(lo), F.least(F.col(lo) + chunk, n) - 1))).drop(lo)
+    return small.unionByName(large)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null. Splits nothing into an array of words twice."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
