@@ -35,8 +35,9 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return bpe.encode(docs, vocabulary()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of every document, and the digest of the text that they decode to."""
+    coded = bpe.encode(docs, vocabulary(), decoded=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

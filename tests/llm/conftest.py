@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import types as T
 
 #: Columns whose names clash with what the operators use inside.
-CLASHING = ("id", "size", "shard", "fp", "part", "key", "ids", "h1", "t1", "score", "n", "row", "copies", "media", "slot", "host", "rank")
+CLASHING = ("id", "size", "shard", "fp", "part", "key", "ids", "h1", "t1", "score", "n", "row", "copies", "media", "slot", "host", "rank",
+            "__own", "__id", "__k", "__copies", "kept_id", "rid", "rsource", "total", "at", "lo", "tie", "many", "hash", "before", "text_hash")
 
 
 @pytest.fixture
@@ -24,8 +25,8 @@ def odd_docs(spark):
         (8, "1234 5678 !!! <|endoftext|> ???", "en", "a"),
         (2, "another text under the same id", "en", "a"),
     ]
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())] + [T.StructField(c, T.StringType()) for c in CLASHING])
-    return spark.createDataFrame([(*r, *["x"] * len(CLASHING)) for r in rows], schema)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())] + [T.StructField(c, T.StringType()) for c in CLASHING] + [T.StructField("attributes", T.MapType(T.StringType(), T.IntegerType()))])
+    return spark.createDataFrame([(*r, *["x"] * len(CLASHING), {"k": 1}) for r in rows], schema)
 
 
 @pytest.fixture

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 
@@ -91,3 +92,65 @@ def test_one_repeated_document(spark):
     rows = mixing.mix(docs).collect()
     taken = sum(r["copies"] * r["size"] for r in rows if r["source"] == "a")
     assert len(rows) == docs.count() and abs(taken - next(r["target"] for r in rows if r["source"] == "a")) <= 2
+
+
+def slow_copies(sizes, target, most=2):
+    """Words taken of one source: bisection for the tilt, then rounding from long to short. ``sizes``: {size: documents}."""
+    total, rows = sum(s * n for s, n in sizes.items()), sum(sizes.values())
+    mean = total / rows
+    rate = lambda lam, s: most / (1 + math.exp(-max(-700, min(700, lam * s / mean))))
+    if target >= most * total * (1 - 1e-12):
+        return {s: (most if s else 1) * n for s, n in sizes.items()}
+    lo, hi = -1e3, 1e3
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if sum(s * n * rate(mid, s) for s, n in sizes.items()) > target:
+            hi = mid
+        else:
+            lo = mid
+    out, owed = {}, 0.0
+    for s, n in sorted(sizes.items(), reverse=True):
+        owed += s * n * rate(lo, s)
+        out[s] = min(max(round(owed / s), 0), most * n) if s else n
+        owed -= out[s] * s
+    return out
+
+
+def test_copies_against_a_slow_version(spark, sf_dir):
+    found = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).toPandas()
+    for _, own in found.groupby("source"):
+        want = slow_copies(own["size"].value_counts().to_dict(), own.target.iloc[0])
+        got = own.groupby("size").copies.sum().to_dict()
+        assert sum(abs(got[s] - want[s]) for s in want) <= 2  # a rounding at the border may go either way
+
+
+def test_copies_go_to_the_rows_that_they_were_counted_for(spark):
+    rows = [(1, "a", "s"), (1, "a b c d e", "s"), (1, "a b c d e", "t"), (None, "x y", "s"), (None, "x y", "s"), (None, "z y", "s"), (2, "q", None), (2, "q", None)] + [(i, "w " * i, "s") for i in range(3, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs)
+    words = lambda rs: sorted((str(s), n) for s, n in rs.items())
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mixed.collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    for r in mixing.repeat(docs, mixed).collect():
+        got[r["doc_id"], r["source"], len(r["text"].split())] += 1
+    assert words(got) == words({k: v for k, v in want.items() if v})
+    fixed = spark.createDataFrame([(1, "s", 1, 2), (1, "s", 5, 1)], "doc_id long, source string, size long, copies long")
+    two = docs.where("doc_id = 1 AND source = 's'")
+    assert sorted(len(r["text"].split()) for r in mixing.repeat(two, fixed).collect()) == [1, 1, 5]
+
+
+def test_a_document_that_is_a_third_of_the_table(spark, monkeypatch):
+    from weir.llm import common
+
+    real = common.numbered
+    monkeypatch.setattr(mixing, "numbered", lambda df, count, out, chunk=7: real(df, count, out, 7))
+    docs = spark.createDataFrame([(1, "one two three", "a")] * 100 + [(None, f"n{i} x", "a") for i in range(60)] + [(i, "x " * (i % 40), "b") for i in range(2, 160)], "doc_id long, text string, source string")
+    mixed = mixing.mix(docs)
+    rows = mixed.collect()
+    assert len(rows) == docs.count()
+    repeated = mixing.repeat(docs, mixed)
+    assert repeated.count() == sum(r["copies"] for r in rows)
+    assert repeated.where("doc_id = 1").count() == sum(r["copies"] for r in rows if r["doc_id"] == 1)
+    again = sorted(map(str, mixing.repeat(docs.repartition(7), mixing.mix(docs.repartition(5))).collect()))
+    assert again == sorted(map(str, repeated.collect()))

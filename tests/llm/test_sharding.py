@@ -27,6 +27,48 @@ def test_whole_table(spark, sf_dir):
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
 
 
+def slow_placement(spots, n_shards, vnodes=64, cells=4096):
+    """Row by row: in each round every waiting row of a cell, cell by cell, asks the next virtual node clockwise that has room."""
+    import xxhash
+
+    points = sorted((xxhash.xxh64_intdigest(f"{s}/{k}", seed=1) * cells >> 64, xxhash.xxh64_intdigest(f"{s}/{k}", seed=1), s) for s in range(n_shards) for k in range(vnodes))
+    base, more = divmod(len(spots), n_shards)
+    room = [base + (s < more) for s in range(n_shards)]
+    waiting = {c: n for c, n in sorted(Counter((x & (1 << 64) - 1) * cells >> 64 for x in spots).items())}
+    at = {c: next((i for i, p in enumerate(points) if p[0] >= c), len(points)) for c in waiting}
+    out = Counter()
+    while waiting:
+        for c in list(waiting):
+            while room[points[at[c] % len(points)][2]] == 0:
+                at[c] += 1
+            s = points[at[c] % len(points)][2]
+            while waiting[c] and room[s]:
+                room[s] -= 1
+                waiting[c] -= 1
+                out[c, s] += 1
+            at[c] += 1
+            if not waiting[c]:
+                del waiting[c]
+    return out
+
+
+def test_placement_against_a_slow_version(spark, sf_dir):
+    spots = {r["doc_id"]: r["h"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    got = Counter(((spots[r["doc_id"]] & (1 << 64) - 1) * 4096 >> 64, r["shard"]) for r in op1_consistent_hash_sharding(spark, sf_dir).collect())
+    assert got == slow_placement(list(spots.values()), 40)
+
+
+def test_a_row_that_is_a_third_of_the_table(spark, monkeypatch):
+    from weir.llm import common
+
+    real = common.numbered
+    monkeypatch.setattr(sharding, "numbered", lambda df, count, out: real(df, count, out, 7))
+    docs = spark.createDataFrame([(1, "same")] * 300 + [(i, "x") for i in range(2, 602)], "doc_id long, text string")
+    rows = sharding.shard(docs, 7).collect()
+    check(rows, 7)
+    assert Counter(r["doc_id"] for r in rows)[1] == 300
+
+
 def test_reruns_agree(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     a = {tuple(r) for r in sharding.shard(docs).collect()}

@@ -36,6 +36,14 @@ def test_whole_table_equals_its_sql(spark, sf_dir):
     assert got == sorted(con.sql(ORACLES["op5_exact_top_k"]).fetchall()) and got
 
 
+def test_repeated_queries_are_asked_once_in_sql_too(spark, tmp_path):
+    rows = [(0, [1.0, 0.5]), (0, [0.5, 1.0]), (0, [0.5, 1.0]), (50, [1.0, 1.0]), *((i, [i / 7, 1 - i / 9]) for i in range(1, 12))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in op5_exact_top_k(spark, str(tmp_path)).collect()) == sorted(con.sql(ORACLES["op5_exact_top_k"]).fetchall())
+
+
 def test_random_with_ties_and_repeats(spark):
     rng = random.Random(1)
     rows = [(i, [rng.choice([-0.5, 0.0, 0.25, 1.0]) for _ in range(4)]) for i in range(120)]

@@ -41,9 +41,23 @@ def write_wav(payload: bytes) -> bytes:
 
 
 def read_wav(media: bytes) -> bytes:
-    """The samples of a WAV file."""
+    """The stored bytes of a WAV file."""
+    return read_samples(media)[0]
+
+
+def read_samples(media: bytes) -> tuple[bytes, np.ndarray]:
+    """(stored bytes, samples of 8 bits) of a WAV file.
+
+    Of wider samples the highest byte is taken, and of several channels the mean.
+    """
     with wave.open(io.BytesIO(media), "rb") as w:
-        return w.readframes(w.getnframes())
+        payload, width, channels = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels()
+    top = np.frombuffer(payload, np.uint8)[width - 1 :: width]
+    if width > 1:
+        top = top ^ 128  # wider samples are signed
+    if channels > 1:
+        top = (top[: len(top) // channels * channels].reshape(-1, channels).sum(1, dtype=np.int64) // channels).astype(np.uint8)
+    return payload, top
 
 
 def pad(payload: bytes) -> bytes:
@@ -60,12 +74,22 @@ def _table() -> np.ndarray:
     return np.rint(256 * window * np.concatenate([np.cos(angle), np.sin(angle)], axis=1)).astype(np.float32)
 
 
-def peaks(samples: np.ndarray) -> np.ndarray:
+def frame_starts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(recording, first sample) of all frames of recordings that stand one behind another, each with its own grid."""
+    count = np.maximum((sizes - FRAME) // HOP + 1, 0)
+    owner = np.repeat(np.arange(len(sizes)), count)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    return owner, (np.cumsum(sizes) - sizes)[owner] + number * HOP
+
+
+def peaks(samples: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For every frame its strongest local maxima, as frequency numbers; 0 where there are fewer."""
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
-    out = np.zeros((len(frames), PEAKS), np.int32)
-    for k in range(0, len(frames), FRAMES_AT_ONCE):
-        both = (frames[k : k + FRAMES_AT_ONCE].astype(np.float32) - 128) @ _table()
+    out = np.zeros((len(starts), PEAKS), np.int32)
+    if not len(starts):
+        return out
+    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)
+    for k in range(0, len(starts), FRAMES_AT_ONCE):
+        both = (frames[starts[k : k + FRAMES_AT_ONCE]].astype(np.float32) - 128) @ _table()
         n = FRAME // 2 + 1
         power = both[:, :n].astype(np.float64) ** 2 + both[:, n:].astype(np.float64) ** 2
         middle = power[:, 1:-1]
@@ -112,10 +136,19 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return arrow_map(texts, run, f"id {dict(texts.dtypes)['id']}, n long, media binary").select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), "media")
 
 
+def _read(media: bytes | None) -> tuple[bytes | None, np.ndarray]:
+    try:
+        return read_samples(media) if media is not None else (None, np.zeros(0, np.uint8))
+    except (wave.Error, EOFError):
+        return None, np.zeros(0, np.uint8)
+
+
 def load(stored: DataFrame, *, media_col: str = "media") -> DataFrame:
     """The columns of ``stored`` and ``payload, frames, print_frames, print_codes``, from the files.
 
-    Null media give nulls. Columns of these four names are replaced.
+    A recording's frames begin with its own first sample, whatever stands beside it
+    in a batch. Null media and such as are no WAV file of plain samples give nulls. Columns of these
+    four names are replaced.
     """
     new = {"payload": "binary", "frames": "int", "print_frames": "array<int>", "print_codes": "array<int>"}
     kept = [c for c in stored.columns if c not in new]
@@ -129,20 +162,13 @@ def load(stored: DataFrame, *, media_col: str = "media") -> DataFrame:
                 part = batch.slice(begin, end - begin)
                 begin = end
                 media = part.column(at).to_pylist()
-                payloads = [None if m is None else read_wav(m) for m in media]
-                samples = np.frombuffer(b"".join(p or b"" for p in payloads), np.uint8)
-                ends = np.cumsum([len(p or b"") for p in payloads])
-                if len(samples) >= FRAME:
-                    found = peaks(samples)
-                    start = np.arange(len(found)) * HOP
-                    owner = np.searchsorted(ends, start, side="right")
-                    whole = start + FRAME <= ends[owner]  # frames within one recording
-                    owner = owner[whole]
-                    run_of, frame, code = pairs(found[whole], owner)
-                else:
-                    owner = run_of = frame = code = np.zeros(0, np.int64)
+                read = [_read(m) for m in media]
+                payloads = [p for p, _ in read]
+                samples = np.concatenate([np.zeros(0, np.uint8), *(x for _, x in read)])
+                owner, starts = frame_starts(np.array([len(x) for _, x in read], np.int64))
+                run_of, frame, code = pairs(peaks(samples, starts), owner)
                 cut = pa.array(np.searchsorted(run_of, np.arange(len(media) + 1)).astype(np.int32))
-                null = np.array([m is None for m in media])
+                null = np.array([p is None for p in payloads])
                 lists = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32)), mask=pa.array(null)) for x in (frame, code)]
                 count = pa.array(np.bincount(owner, minlength=len(media)).astype(np.int32), mask=null)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary()), count, *lists], names=[*kept, *new])

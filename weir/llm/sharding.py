@@ -12,7 +12,8 @@ The plan is made from counts. ``cells * splits`` counts reach the driver, howeve
 many rows there are; rows stay on the executors and are only ranked inside their
 cell's split. Texts are read once and never shuffled: a row is reduced to id,
 size and checksum first, and equal ones are counted before the shuffle, so one
-repeated row with a third of the table is one row of the window.
+repeated row with a third of the table is one row of the window; it is given back
+in ranges that several tasks write.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, numbered, unused
 
 
 def ring(n_shards: int, vnodes: int, cells: int) -> list[tuple[int, int, int]]:
@@ -135,11 +136,13 @@ def shard(
     plan_df = spark.createDataFrame(table, "part int, lo long, hi long, shard int, shift long")
 
     order = Window.partitionBy("part").orderBy("id", "size", "crc").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = rows.withColumn("end", F.sum("many").over(order)).select(
-        "id", "size", "crc", "part", F.explode(F.sequence(F.col("end") - F.col("many"), F.col("end") - 1)).alias("rank")
-    )
+    ranked = rows.withColumn("end", F.sum("many").over(order)).withColumn("begin", F.col("end") - F.col("many"))
     # at most cells * splits + n_shards * vnodes rows of 40 bytes, whatever the input
-    placed = ranked.join(F.broadcast(plan_df.withColumnRenamed("part", "to_part")), (F.col("part") == F.col("to_part")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return placed.select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("rank") + F.col("shift")).alias("slot")
+    plan_df = F.broadcast(plan_df.withColumnRenamed("part", "to_part"))
+    placed = ranked.join(plan_df, (F.col("part") == F.col("to_part")) & (F.col("begin") < F.col("hi")) & (F.col("end") > F.col("lo")))
+    first = F.greatest("begin", "lo")
+    placed = placed.select(
+        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (first + F.col("shift")).alias("first_slot"), (F.least("end", "hi") - first).alias("many")
     )
+    (out,) = unused(placed.columns, "at")
+    return numbered(placed, "many", out).select(id_col, "size", "text_crc32", "shard", (F.col("first_slot") + F.col(out)).alias("slot"))

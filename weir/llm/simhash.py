@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, arrow_map, materialize, small_slices, text_bytes
+from .common import Batches, arrow_map, materialize, small_slices, text_bytes, unused
 from .graph import components
 from .shingles import MAX_BITS, fingerprint
 from .similar import similar_texts
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, similarity: float | None
     tables give empty results. Other columns are ignored.
     """
     rows = materialize(
-        arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), _fingerprints(words), "id long, fp long"),
+        arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), _fingerprints(words), f"id {dict(docs.dtypes)[id_col]}, fp long"),
         "fingerprints",
     )
     fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct_fingerprints")
@@ -213,32 +213,34 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, similarity: float | None
 def keep_one(docs: DataFrame, *, words: int = 4, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one of each class: that of the smallest id.
 
-    Rows that repeat the kept id in its class are reduced to one as well. A class
-    without any id keeps one of its rows.
+    Rows that repeat the kept id in its class are reduced to one as well (that of
+    the smallest digest). A class without any id keeps one of its rows. Null and
+    wordless texts are one class like any other. Empty tables give empty results.
+    All columns are kept, whatever their names and types.
     """
     found = near_duplicates(docs, words=words, similarity=similarity, id_col=id_col, text_col=text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("class_fp").agg(
-        F.min(F.struct("fp")).alias("x"), F.first("component_id", ignorenulls=True).alias("__id")
+    found = found.select(F.col(id_col).alias("id"), "fp", "class_fp", "component_id")
+    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("class_fp").agg(
+        F.min("fp").alias("kept_fp"), F.first("component_id", ignorenulls=True).alias("kept_id")
     )
-    kept = materialize(kept.select("__id", F.col("x.fp").alias("__fp")), "kept")
-    once = kept.groupBy("__id").agg(F.count("*").alias("__classes"))
-    counts = found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__rows"))
-    plain = materialize(once.join(counts, "__id").where("__rows = 1").select("__id"), "kept_plain")
+    kept = materialize(kept.select("kept_id", "kept_fp"), "kept")
+    once = kept.groupBy("kept_id").agg(F.count("*").alias("classes"))
+    counts = found.groupBy(F.col("id").alias("kept_id")).agg(F.count("*").alias("n"))
+    plain = materialize(once.join(counts, "kept_id").where("n = 1").select("kept_id"), "kept_plain")
     cols = docs.columns
-    simple = docs.join(plain.hint("merge"), docs[id_col] == plain["__id"], "left_semi")  # ids grow with the rows: no broadcast
+    (kept_id,) = unused(cols, "kept_id")
+    # ids grow with the rows: no broadcast
+    simple = docs.join(plain.select(F.col("kept_id").alias(kept_id)).hint("merge"), F.col(id_col) == F.col(kept_id), "left_semi")
     # ids that several rows carry (or none): told apart by their fingerprint, then reduced to one row
-    odd = materialize(kept.join(plain, "__id", "left_anti"), "kept_odd")
+    odd = materialize(kept.join(plain, "kept_id", "left_anti"), "kept_odd")
     if odd.isEmpty():
         return simple
-    again = docs.select(*[F.col(c) for c in cols], F.col(id_col).alias("__own"))
-    ids = odd.select("__id").distinct()
-    again = again.join(ids, F.col("__own").eqNullSafe(F.col("__id")), "left_semi")
-    marked = arrow_map(
-        again.select(F.struct(*cols).alias("row"), F.col(text_col).cast("string").alias("text")), _mark(words), again.select(F.struct(*cols).alias("row"), F.lit(0).cast("long").alias("fp")).schema
-    )
-    marked = marked.withColumn("__own", F.col(f"row.{id_col}"))
-    hit = marked.join(odd, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")))
-    one = hit.groupBy("__own", "fp").agg(F.min("row").alias("row"))
+    ids = odd.select(F.col("kept_id").alias(kept_id)).distinct()
+    again = docs.join(ids.hint("merge"), F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
+    again = again.select(F.struct(*cols).alias("row"), F.col(text_col).cast("string").alias("text"))
+    marked = arrow_map(again, _mark(words), again.select("row", F.lit(0).cast("long").alias("fp")).schema)
+    hit = marked.withColumn("own_id", F.col("row")[id_col]).join(odd.hint("merge"), F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")))
+    one = hit.groupBy("own_id", "fp").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
     return simple.unionByName(one.select("row.*").select(*cols))
 
 
