@@ -245,3 +245,10 @@ def test_filters_hold_all_and_little_more():
 def test_tiny_training(n):
     net = quality.fit(np.zeros((n, quality.FEATURES)), np.ones(n))
     assert net.score(np.zeros((2, quality.FEATURES))).shape == (2,)
+
+
+def test_rows_of_one_label_part_nothing():
+    rng = np.random.default_rng(0)
+    for y in (0.0, 1.0):
+        net = quality.fit(rng.normal(size=(24, quality.FEATURES)), np.full(24, y))
+        assert np.allclose(net.score(rng.normal(size=(9, quality.FEATURES))), (24 * y + 1) / 26)
