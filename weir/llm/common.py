@@ -17,6 +17,9 @@ from ..sources.files import Files
 #: What splits words everywhere in this subpackage: the space and 0x09 to 0x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting that deletes a query's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Rows of an Arrow batch between Spark and Python; the session's own setting is kept where it is lower.
 BATCH_ROWS = 2000
 
@@ -63,11 +66,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only the tasks it was running,
-    since the written files are on storage that every machine reads.
+    since the written files are on storage that every machine reads. The shuffle
+    files of the plan are deleted once it is written, as nothing asks for them again.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

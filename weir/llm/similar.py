@@ -10,12 +10,15 @@ never the result.
 
 Equal texts are one row before the index. Pairs whose fingerprints link them
 already are no candidates, so a group of near copies is not compared again. A key
-of more than ``tile`` texts is split, chunk against chunk.
+of more than ``tile`` texts is split, chunk against chunk. The index is several
+times as large as the hashes of the texts, so its keys are joined in ``PASSES``,
+each a part of them; the shuffle files of one are gone before the next.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,7 @@ from .shingles import MAX_BITS, fingerprint, shingles
 
 SHARE = 16  # one text of so many is counted for the order
 FREQUENT = 200_000  # elements that come last at most
+PASSES = 4
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -48,7 +52,7 @@ def _sets(words: int):
 
 
 def _index(words: int, fingerprint_words: int, least: Fraction, last: np.ndarray):
-    """(text hash, fingerprint, size, first elements) of each row (text, text hash); ``last``: frequent elements, rarest first."""
+    """(text hash, fingerprint, size, first elements and their places by pass) of each row (text, text hash); ``last``: frequent elements, rarest first."""
     sorting = np.argsort(last)
     known = last[sorting]
 
@@ -63,20 +67,30 @@ def _index(words: int, fingerprint_words: int, least: Fraction, last: np.ndarray
     def run(batches: Batches) -> Batches:
         for batch in small_slices(batches, "text"):
             raw, off = text_bytes(batch.column(0))
-            raw, fps, sizes, keys = raw.tobytes(), [], [], []
+            raw, fps, sizes = raw.tobytes(), [], []
+            keys, places = ([[] for _ in range(PASSES)] for _ in range(2))
             for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
                 elements = shingle_set(raw[s:e], words)
                 fps.append(fingerprint(raw[s:e], fingerprint_words))
                 sizes.append(len(elements))
-                keys.append(first(elements).view(np.int64))
-            cols = [batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["text_hash", "fp", "size", "keys"])
+                own = first(elements)
+                for k in range(PASSES):
+                    at = np.flatnonzero(own % np.uint64(PASSES) == k)
+                    keys[k].append(own[at].view(np.int64))
+                    places[k].append(at.astype(np.int32))
+            cols = [batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32())]
+            cols += [pa.array(k, pa.list_(pa.int64())) for k in keys] + [pa.array(k, pa.list_(pa.int32())) for k in places]
+            yield pa.RecordBatch.from_arrays(cols, names=["text_hash", "fp", "size", *_pass_columns("keys"), *_pass_columns("places")])
 
     return run
 
 
+def _pass_columns(name: str) -> list[str]:
+    return [f"{name}_{k}" for k in range(PASSES)]
+
+
 def _candidates(least: Fraction):
-    """Input sorted by gid: (gid, text hash, fp, size, place). Keeps the open group, so memory is a batch and a group."""
+    """Input sorted by gid: (gid, text hash, fp, size and place in one). Keeps the open group, so memory is a batch and a group."""
     up, down = least.numerator, least.numerator + least.denominator
 
     def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -113,9 +127,8 @@ def _candidates(least: Fraction):
     def run(batches: Batches) -> Batches:
         held = None
         for batch in batches:
-            new = [batch.column(k).to_numpy() for k in range(5)]
-            new[2] = new[2].view(np.uint64)
-            new[3:] = [c.astype(np.int64) for c in new[3:]]
+            new = [batch.column(k).to_numpy() for k in range(4)]
+            new[2:] = [new[2].view(np.uint64), new[3] >> 32, new[3] & 0xFFFFFFFF]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if len(held[0]) > 100_000:
                 end = int(np.searchsorted(held[0], held[0][-1]))
@@ -143,20 +156,12 @@ def _similar(least: Fraction):
     return run
 
 
-def similar_texts(texts: DataFrame, similarity: float, *, words: int = 5, fingerprint_words: int = 4, tile: int = 4096) -> DataFrame:
-    """``a, b``: fingerprints of all texts (column ``text``) that are at least this similar and not near by fingerprint."""
-    least = Fraction(str(similarity))
-    hashed = texts.where("text is not null").select("text", F.xxhash64("text").alias("text_hash"))
-    counted = arrow_map(hashed.where(F.pmod("text_hash", F.lit(SHARE)) == 0), _sets(words), "text_hash long, elements array<long>")
-    counted = counted.select(F.explode("elements").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n >= 4")
-    last = [r["key"] for r in counted.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()][::-1]
-    order = np.array(last, np.int64).view(np.uint64)
-    index = arrow_map(hashed, _index(words, fingerprint_words, least, order), "text_hash long, fp long, size int, keys array<long>")
-    index = materialize(index.dropDuplicates(["text_hash"]), "shingle_index")
-    keyed = index.select("text_hash", "fp", "size", F.posexplode("keys").alias("place", "key"))
-
+def _pass_pairs(index: DataFrame, number: int, frequent: DataFrame, least: Fraction, tile: int) -> DataFrame:
+    """Candidate pairs (text_a, text_b, a, b) that meet under the keys of one pass."""
+    both = F.posexplode(F.arrays_zip(F.col(f"keys_{number}").alias("key"), F.col(f"places_{number}").alias("place")))
+    packed = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("x.place").cast("long"))
+    keyed = index.select("text_hash", "fp", "size", both.alias("p", "x")).select("text_hash", "fp", packed.alias("where"), F.col("x.key").alias("key"))
     pair = F.lit(0).cast("long")
-    frequent = index.sparkSession.createDataFrame([(k,) for k in last], "key long")
     # a key of over ``tile`` texts is among the frequent ones, unless the sample is far off
     split = keyed.join(F.broadcast(frequent), "key", "left_semi").groupBy("key").agg(F.ceil(2 * F.count("*") / tile).cast("long").alias("parts")).where("parts > 2")
     split = materialize(split, "split_shingles")
@@ -164,11 +169,27 @@ def similar_texts(texts: DataFrame, similarity: float, *, words: int = 5, finger
         keyed = keyed.join(F.broadcast(split), "key", "left").withColumn("own", F.pmod(F.xxhash64("text_hash", F.lit(11)), F.col("parts")))
         none = F.array(F.lit(None).cast("long"))
         others = F.expr("filter(sequence(0L, parts - 1), i -> i <> own)")
-        keyed = keyed.select("text_hash", "fp", "size", "place", "key", "own", F.explode(F.when(F.col("parts").isNull(), none).otherwise(others)).alias("other"))
+        keyed = keyed.select("text_hash", "fp", "where", "key", "own", F.explode(F.when(F.col("parts").isNull(), none).otherwise(others)).alias("other"))
         pair = F.when(F.col("other").isNull(), F.lit(0).cast("long")).otherwise(F.least("own", "other") * 65536 + F.greatest("own", "other"))
     # two keys of one gid would only give candidates more
-    dealt = keyed.select(F.xxhash64("key", pair).alias("gid"), "text_hash", "fp", "size", "place").repartition("gid").sortWithinPartitions("gid")
-    pairs = materialize(arrow_map(dealt, _candidates(least), "text_a long, text_b long, a long, b long").distinct(), "similar_candidates")
+    dealt = keyed.select(F.xxhash64("key", pair).alias("gid"), "text_hash", "fp", "where").repartition("gid").sortWithinPartitions("gid")
+    return materialize(arrow_map(dealt, _candidates(least), "text_a long, text_b long, a long, b long").distinct(), f"candidates_{number}")
+
+
+def similar_texts(texts: DataFrame, similarity: float, *, words: int = 5, fingerprint_words: int = 4, tile: int = 4096) -> DataFrame:
+    """``a, b``: fingerprints of all texts (column ``text``) that are at least this similar and not near by fingerprint."""
+    least = Fraction(str(similarity))
+    hashed = texts.where("text is not null").select("text", F.xxhash64("text").alias("text_hash"))
+    counted = arrow_map(hashed.where(F.pmod("text_hash", F.lit(SHARE)) == 0), _sets(words), "text_hash long, elements array<long>")
+    counted = counted.select(F.explode("elements").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n >= 4")
+    last = [r["key"] for r in counted.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()][::-1]
+    order = np.array(last, np.int64).view(np.uint64)
+    arrays = ", ".join([f"{c} array<long>" for c in _pass_columns("keys")] + [f"{c} array<int>" for c in _pass_columns("places")])
+    index = arrow_map(hashed, _index(words, fingerprint_words, least, order), f"text_hash long, fp long, size int, {arrays}")
+    index = materialize(index.dropDuplicates(["text_hash"]), "shingle_index")
+    frequent = index.sparkSession.createDataFrame([(k,) for k in last], "key long")
+    found = [_pass_pairs(index, k, frequent, least, tile) for k in range(PASSES)]
+    pairs = materialize(reduce(DataFrame.unionByName, found).distinct(), "similar_candidates")
 
     nodes = materialize(pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_hash")).distinct(), "candidate_texts")
     if nodes.count() <= 500_000:  # of 8 bytes; beyond that an ordinary join
