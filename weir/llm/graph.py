@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest index that each of n indices is connected to."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = label[label]
+        keep = label[a] != label[b]
+        a, b = a[keep], b[keep]
+    while not np.array_equal(label, label[label]):
+        label = label[label]
+    return label
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` for every node of a link table; equal roots mean connected.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Batches, arrow_map, materialize, small_slices, text_bytes, unused
-from .graph import components
+from .graph import components, roots
 from .shingles import MAX_BITS, fingerprint
 from .similar import similar_texts
 
@@ -41,21 +41,6 @@ def _fingerprints(words: int):
     return run
 
 
-def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest index that each of n indices is connected to."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
-        keep = label[a] != label[b]
-        a, b = a[keep], b[keep]
-    while not np.array_equal(label, label[label]):
-        label = label[label]
-    return label
-
-
 def _verified(x: np.ndarray, bit: np.ndarray) -> np.ndarray:
     """Which differences x are links to be reported under the key with wildcard ``bit``.
 
@@ -103,15 +88,15 @@ def _forest(gid: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             i, j = np.nonzero(_verified(run[k : k + step, None] ^ run[None, k:], bit[s]))
             ok = j > i
             i, j = i[ok] + k, j[ok] + k
-            root = _roots(i, j, n)
+            root = roots(i, j, n)
             moved = np.flatnonzero(root != np.arange(n))
             fa.append(moved)
             fb.append(root[moved])
-        root = _roots(np.concatenate(fa), np.concatenate(fb), n)
+        root = roots(np.concatenate(fa), np.concatenate(fb), n)
         moved = np.flatnonzero(root != np.arange(n))
         pa_.append(idx[moved])
         pb_.append(idx[root[moved]])
-    root = _roots(np.concatenate(pa_), np.concatenate(pb_), len(own))
+    root = roots(np.concatenate(pa_), np.concatenate(pb_), len(own))
     moved = np.flatnonzero(root != np.arange(len(own)))
     return own[moved], own[root[moved]]
 

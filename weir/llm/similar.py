@@ -8,8 +8,9 @@ that many texts have come last in the order, so they are hardly ever in the
 index; they are counted in a sixteenth of the texts, which sets the order and
 never the result.
 
-Equal texts are one row before the index. Pairs whose fingerprints link them
-already are no candidates, so a group of near copies is not compared again. A key
+Equal texts are one row before the index. Pairs that links of fingerprints among
+the texts of a key connect already are no candidates, so a group of near copies is
+hardly compared again. A key
 of more than ``tile`` texts is split, chunk against chunk. The index is several
 times as large as the hashes of the texts, so its keys are joined in ``PASSES``,
 each a part of them; the shuffle files of one are gone before the next.
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Batches, arrow_map, materialize, small_slices, text_bytes
+from .graph import roots
 from .shingles import MAX_BITS, fingerprint, shingles
 
 SHARE = 16  # one text of so many is counted for the order
@@ -89,6 +91,31 @@ def _pass_columns(name: str) -> list[str]:
     return [f"{name}_{k}" for k in range(PASSES)]
 
 
+def _connected(fp: np.ndarray, cut: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row the first row that chains of links within its group connect it to."""
+    rest = np.repeat(cut + n, n) - np.arange(len(fp)) - 1
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    i = np.flatnonzero((np.repeat(n, n) <= 256) & (rest > 0))
+    d = 1
+    while len(i):
+        near = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= MAX_BITS]
+        a.append(near)
+        b.append(near + d)
+        d += 1
+        i = i[rest[i] >= d]
+    for s, m in zip(cut[n > 256].tolist(), n[n > 256].tolist(), strict=True):
+        own = fp[s : s + m]
+        step = max(1, 500_000 // m)
+        for k in range(0, m, step):
+            x, y = np.nonzero(np.bitwise_count(own[k : k + step, None] ^ own[None, :]) <= MAX_BITS)
+            x += k
+            root = roots(x[x < y], y[x < y], m)
+            moved = np.flatnonzero(root != np.arange(m))
+            a.append(moved + s)
+            b.append(root[moved] + s)
+    return roots(np.concatenate(a), np.concatenate(b), len(fp))
+
+
 def _candidates(least: Fraction):
     """Input sorted by gid: (gid, text hash, fp, size and place in one). Keeps the open group, so memory is a batch and a group."""
     up, down = least.numerator, least.numerator + least.denominator
@@ -99,11 +126,12 @@ def _candidates(least: Fraction):
         n = np.diff(np.append(cut, len(gid)))
         rest = np.repeat(cut + n, n) - np.arange(len(gid)) - 1  # rows of the group that follow
         out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        root = _connected(fp, cut, n)
 
         def add(i: np.ndarray, j: np.ndarray) -> None:
             a, b = size[i], size[j]
             ok = np.minimum(a - place[i], b - place[j]) >= -(-up * (a + b) // down)
-            ok &= (np.bitwise_count(fp[i] ^ fp[j]) > MAX_BITS) & (text[i] != text[j])
+            ok &= (root[i] != root[j]) & (text[i] != text[j])
             ok &= np.minimum(a, b) * least.denominator >= np.maximum(a, b) * up
             out_i.append(i[ok])
             out_j.append(j[ok])
