@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, similarity: float | None
     fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct_fingerprints")
     links = near_links(fps.select("fp"), tile)
     if similarity is not None:
-        links = links.unionByName(similar_texts(docs.select(F.col(text_col).cast("string").alias("text")), similarity, fingerprint_words=words, tile=tile))
+        links = links.unionByName(similar_texts(docs.select(F.col(text_col).cast("string").alias("text")), similarity, fingerprint_words=words, tile=tile, every=False))
     roots = components(links).withColumnsRenamed({"node": "fp", "root": "class_fp"})
     classed = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("class_fp", "fp").alias("class_fp"))
     least = classed.groupBy("class_fp").agg(F.min("least").alias("component_id"))

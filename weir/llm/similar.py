@@ -8,9 +8,10 @@ that many texts have come last in the order, so they are hardly ever in the
 index; they are counted in a sixteenth of the texts, which sets the order and
 never the result.
 
-Equal texts are one row before the index. Pairs that links of fingerprints among
-the texts of a key connect already are no candidates, so a group of near copies is
-hardly compared again. A key
+Equal texts are one row before the index. Pairs whose fingerprints link them
+already are no candidates; where only classes are asked for, neither are pairs that
+a chain of such links among the texts of a key connects, so a group of near copies
+is hardly compared again. A key
 of more than ``tile`` texts is split, chunk against chunk. The index is several
 times as large as the hashes of the texts, so its keys are joined in ``PASSES``,
 each a part of them; the shuffle files of one are gone before the next.
@@ -116,7 +117,7 @@ def _connected(fp: np.ndarray, cut: np.ndarray, n: np.ndarray) -> np.ndarray:
     return roots(np.concatenate(a), np.concatenate(b), len(fp))
 
 
-def _candidates(least: Fraction):
+def _candidates(least: Fraction, every: bool):
     """Input sorted by gid: (gid, text hash, fp, size and place in one). Keeps the open group, so memory is a batch and a group."""
     up, down = least.numerator, least.numerator + least.denominator
 
@@ -126,12 +127,12 @@ def _candidates(least: Fraction):
         n = np.diff(np.append(cut, len(gid)))
         rest = np.repeat(cut + n, n) - np.arange(len(gid)) - 1  # rows of the group that follow
         out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        root = _connected(fp, cut, n)
+        root = None if every else _connected(fp, cut, n)
 
         def add(i: np.ndarray, j: np.ndarray) -> None:
             a, b = size[i], size[j]
             ok = np.minimum(a - place[i], b - place[j]) >= -(-up * (a + b) // down)
-            ok &= (root[i] != root[j]) & (text[i] != text[j])
+            ok &= (np.bitwise_count(fp[i] ^ fp[j]) > MAX_BITS if root is None else root[i] != root[j]) & (text[i] != text[j])
             ok &= np.minimum(a, b) * least.denominator >= np.maximum(a, b) * up
             out_i.append(i[ok])
             out_j.append(j[ok])
@@ -184,7 +185,7 @@ def _similar(least: Fraction):
     return run
 
 
-def _pass_pairs(index: DataFrame, number: int, frequent: DataFrame, least: Fraction, tile: int) -> DataFrame:
+def _pass_pairs(index: DataFrame, number: int, frequent: DataFrame, least: Fraction, tile: int, every: bool) -> DataFrame:
     """Candidate pairs (text_a, text_b, a, b) that meet under the keys of one pass."""
     both = F.posexplode(F.arrays_zip(F.col(f"keys_{number}").alias("key"), F.col(f"places_{number}").alias("place")))
     packed = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("x.place").cast("long"))
@@ -201,11 +202,14 @@ def _pass_pairs(index: DataFrame, number: int, frequent: DataFrame, least: Fract
         pair = F.when(F.col("other").isNull(), F.lit(0).cast("long")).otherwise(F.least("own", "other") * 65536 + F.greatest("own", "other"))
     # two keys of one gid would only give candidates more
     dealt = keyed.select(F.xxhash64("key", pair).alias("gid"), "text_hash", "fp", "where").repartition("gid").sortWithinPartitions("gid")
-    return materialize(arrow_map(dealt, _candidates(least), "text_a long, text_b long, a long, b long").distinct(), f"candidates_{number}")
+    return materialize(arrow_map(dealt, _candidates(least, every), "text_a long, text_b long, a long, b long").distinct(), f"candidates_{number}")
 
 
-def similar_texts(texts: DataFrame, similarity: float, *, words: int = 5, fingerprint_words: int = 4, tile: int = 4096) -> DataFrame:
-    """``a, b``: fingerprints of all texts (column ``text``) that are at least this similar and not near by fingerprint."""
+def similar_texts(texts: DataFrame, similarity: float, *, words: int = 5, fingerprint_words: int = 4, tile: int = 4096, every: bool = True) -> DataFrame:
+    """``a, b``: fingerprints of all texts (column ``text``) that are at least this similar and not near by fingerprint.
+
+    With ``every`` false only as many as, with the links of near fingerprints, connect the same texts.
+    """
     least = Fraction(str(similarity))
     hashed = texts.where("text is not null").select("text", F.xxhash64("text").alias("text_hash"))
     counted = arrow_map(hashed.where(F.pmod("text_hash", F.lit(SHARE)) == 0), _sets(words), "text_hash long, elements array<long>")
@@ -216,7 +220,7 @@ def similar_texts(texts: DataFrame, similarity: float, *, words: int = 5, finger
     index = arrow_map(hashed, _index(words, fingerprint_words, least, order), f"text_hash long, fp long, size int, {arrays}")
     index = materialize(index.dropDuplicates(["text_hash"]), "shingle_index")
     frequent = index.sparkSession.createDataFrame([(k,) for k in last], "key long")
-    found = [_pass_pairs(index, k, frequent, least, tile) for k in range(PASSES)]
+    found = [_pass_pairs(index, k, frequent, least, tile, every) for k in range(PASSES)]
     pairs = materialize(reduce(DataFrame.unionByName, found).distinct(), "similar_candidates")
 
     nodes = materialize(pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_hash")).distinct(), "candidate_texts")
