@@ -200,3 +200,14 @@ def test_streams_from_queues(spark, service):
 
 def test_types(spark):
     assert avro.spark_schema(AVRO)["f"].dataType == T.DoubleType()
+
+
+def test_avro_keeps_large_numbers_beside_nulls(spark):
+    schema = '{"type":"record","name":"r","fields":[{"name":"a","type":["null","long"]},{"name":"b","type":["null","double"]}]}'
+    rows = [(2**53 + 1, 0.5), (None, 1.0), (-(2**63), None), (2**63 - 1, -0.0)]
+    df = spark.createDataFrame(rows, "a long, b double").coalesce(1)
+    back = df.select(avro.decode_column(avro.encode_column(["a", "b"], schema), schema).alias("x")).select("x.*")
+    assert [tuple(r) for r in back.collect()] == rows
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(Exception, match="not finite"):
+            spark.createDataFrame([(1, bad)], "a long, b double").select(avro.encode_column(["a", "b"], schema)).collect()

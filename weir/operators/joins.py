@@ -66,11 +66,6 @@ def check_dimension(dimension: DataFrame, key: str, name: str = "dimension") ->
         raise DataError(f"the dimension '{name}' has {what}")
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """What Catalyst reckons the rows to be."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def measured_bytes(df: DataFrame) -> int:
     """About what the rows take in memory: eight bytes a value, and the texts."""
     width = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) + 16 if isinstance(f.dataType, T.StringType) else F.lit(8) for f in df.schema]
@@ -105,9 +100,7 @@ def lookup_join(
         raise BindError("the keys of the lookup have different types")
     if not checked:
         check_dimension(df, key, name)
-    size = estimated_bytes(df)
-    if size > min(broadcast_bytes, budget if budget is not None else broadcast_bytes):
-        size = measured_bytes(df)  # Catalyst's figure is an upper bound, often far above
+    size = measured_bytes(df)  # Catalyst's figure is that of the compressed files, often far below
     if budget is not None and size > budget:
         raise DataError(f"the dimension '{name}' takes about {size} bytes; the budget is {budget}")
     dim_alias, stream_alias = (shape.right_alias, shape.left_alias) if dimension == shape.right else (shape.left_alias, shape.right_alias)

@@ -86,9 +86,9 @@ def project_expr_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch(sql, "user_id", {"events": events(spark, sf_dir)})
 
 
-@query("SELECT event_id, amount FROM (SELECT event_id, value + 1 AS amount, user_id FROM events WHERE value > 20) WHERE user_id % 2 = 0")
+@query("SELECT event_id, amount FROM (SELECT event_id, value + 1 AS amount, event_type FROM events WHERE value > 20) WHERE event_type <> 'view'")
 def derived_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = "INSERT INTO o SELECT event_id, amount FROM (SELECT event_id, value + 1 AS amount, user_id FROM events WHERE value > 20) x WHERE user_id % 2 = 0"
+    sql = "INSERT INTO o SELECT event_id, amount FROM (SELECT event_id, value + 1 AS amount, event_type FROM events WHERE value > 20) x WHERE event_type <> 'view'"
     return batch(sql, "event_id", {"events": events(spark, sf_dir)})
 
 
@@ -291,9 +291,9 @@ def lookup_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lookup(spark, sf_dir, "INNER")
 
 
-@query("SELECT o_orderkey, o_totalprice, c_name AS customer_name, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON o_custkey = c_custkey")
+@query("SELECT o_orderkey, o_totalprice, c_name AS customer_name, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON o_custkey = c_custkey")
 def lookup_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lookup(spark, sf_dir, "LEFT", dimension="c_custkey % 3 = 0")
+    return _lookup(spark, sf_dir, "LEFT", dimension="c_mktsegment <> 'BUILDING'")
 
 
 @query("SELECT o_orderkey, o_totalprice, c_name AS customer_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 1000")

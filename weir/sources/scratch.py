@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; where the cluster names none (as in tests), a local one."""
+    """A new path under ``spark.checkpoint.dir``; in local mode (as in tests), where none is named, a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="weir-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return f"{named.rstrip('/')}/weir/{uuid.uuid4().hex}/{name}"

@@ -162,7 +162,8 @@ class KeyedTable:
         above its last one are taken. Another writer's snapshot in between is no
         obstacle: the files are published on top of it.
         """
-        if identifier is not None and (self.last_identifier(writer) or -1) >= identifier:
+        last = self.last_identifier(writer) if identifier is not None else None
+        if last is not None and last >= identifier:
             return None
         checked = self._checked(rows)
         name = self._write(checked)

@@ -52,7 +52,6 @@ class Listener(StreamingQueryListener):
         m.add("rows_read", p.numInputRows)
         took = p.durationMs or {}
         m.add("source_next_ns", 1e6 * (took.get("latestOffset", 0) + took.get("getBatch", 0)))
-        m.add("write_ns", 1e6 * took.get("addBatch", 0))
         m.add("commit_ns", 1e6 * (took.get("walCommit", 0) + took.get("commitOffsets", 0)))
         m.put("consumer_lag", sum(lag(s) for s in p.sources))
 
