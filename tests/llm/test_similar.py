@@ -3,8 +3,9 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
 from weir.llm.shingles import fingerprint
-from weir.llm.similar import similar_texts
+from weir.llm.similar import least_difference, parities, similar_texts
 
 
 def sets(text):
@@ -48,6 +49,19 @@ def test_all_similar_pairs_are_found(spark):
         assert {frozenset(r) for r in similar_texts(df, 0.8, tile=tile).collect()} == want
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 31, 32, 33, 500, 5000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for part in (0.0, 0.02, 0.2, 1.0):
+            k = int(part * len(x))
+            y = np.unique(np.concatenate([x[k:], rng.integers(0, 2**63, rng.integers(0, k + 1), dtype=np.uint64)]))
+            differ = len(np.setxor1d(x, y))
+            bound = least_difference(parities(x), parities(y))
+            assert bound == least_difference(parities(y), parities(x)) <= differ
+            assert bound >= 0.4 * differ or n < 500  # the bound is of use, the more the nearer the sets are
+
+
 def test_the_stage_drops_a_copy_of_few_changed_words(spark, sf_dir):
     rng = random.Random(1)
     base = [f"w{rng.randrange(5000)}" for _ in range(220)]

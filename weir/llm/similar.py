@@ -3,7 +3,10 @@
 Two sets of Jaccard similarity t or more share an element among the first
 n - ceil(t n) + 1 of each, in any order that is the same for all sets. These
 elements are the index: texts that meet under one, of sizes and places that still
-allow t, are candidates, and each candidate's whole sets are compared. Elements
+allow t, are candidates. Each text has the parities of its elements in buckets,
+two to four bits an element: where those of two texts differ, their sets do, so a
+candidate whose parities differ too often is none. Only the others' whole sets,
+which are some thirty times as large, are moved and compared. Elements
 that many texts have come last in the order, so they are hardly ever in the
 index; they are counted in a sixteenth of the texts, which sets the order and
 never the result.
@@ -41,6 +44,21 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def parities(elements: np.ndarray) -> bytes:
+    """Whether each of 2^k buckets (at least two an element) holds an odd number of the elements, a bit each."""
+    buckets = 1 << max(6, (2 * len(elements) - 1).bit_length())
+    odd = np.bincount((elements & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound, from their parities, of the number of elements that only one of two sets has."""
+    a, b = (np.frombuffer(z, np.uint8) for z in ((x, y) if len(x) >= len(y) else (y, x)))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]  # of half the buckets
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _sets(words: int):
     """(text hash, set) of each row (text, text hash)."""
 
@@ -55,7 +73,7 @@ def _sets(words: int):
 
 
 def _index(words: int, fingerprint_words: int, least: Fraction, last: np.ndarray):
-    """(text hash, fingerprint, size, first elements and their places by pass) of each row (text, text hash); ``last``: frequent elements, rarest first."""
+    """(text hash, fingerprint, size, parities, first elements and their places by pass) of each row (text, text hash); ``last``: frequent elements, rarest first."""
     sorting = np.argsort(last)
     known = last[sorting]
 
@@ -70,20 +88,21 @@ def _index(words: int, fingerprint_words: int, least: Fraction, last: np.ndarray
     def run(batches: Batches) -> Batches:
         for batch in small_slices(batches, "text"):
             raw, off = text_bytes(batch.column(0))
-            raw, fps, sizes = raw.tobytes(), [], []
+            raw, fps, sizes, odd = raw.tobytes(), [], [], []
             keys, places = ([[] for _ in range(PASSES)] for _ in range(2))
             for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
                 elements = shingle_set(raw[s:e], words)
                 fps.append(fingerprint(raw[s:e], fingerprint_words))
                 sizes.append(len(elements))
+                odd.append(parities(elements))
                 own = first(elements)
                 for k in range(PASSES):
                     at = np.flatnonzero(own % np.uint64(PASSES) == k)
                     keys[k].append(own[at].view(np.int64))
                     places[k].append(at.astype(np.int32))
-            cols = [batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32())]
+            cols = [batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary())]
             cols += [pa.array(k, pa.list_(pa.int64())) for k in keys] + [pa.array(k, pa.list_(pa.int32())) for k in places]
-            yield pa.RecordBatch.from_arrays(cols, names=["text_hash", "fp", "size", *_pass_columns("keys"), *_pass_columns("places")])
+            yield pa.RecordBatch.from_arrays(cols, names=["text_hash", "fp", "size", "parities", *_pass_columns("keys"), *_pass_columns("places")])
 
     return run
 
@@ -170,6 +189,20 @@ def _candidates(least: Fraction, every: bool):
     return run
 
 
+def _possible(least: Fraction):
+    """The rows (text_a, text_b, a, b, sizes, parities) whose parities allow the similarity, without the last four columns."""
+    up, down = least.numerator, least.numerator + least.denominator
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            total = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
+            differ = [least_difference(x, y) for x, y in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)]
+            ok = (total - np.array(differ, np.int64)) * down >= 2 * up * total
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(ok))
+
+    return run
+
+
 def _similar(least: Fraction):
     """Links (a, b) of the rows (a, b, set of a, set of b) that are alike."""
 
@@ -217,11 +250,14 @@ def similar_texts(texts: DataFrame, similarity: float, *, words: int = 5, finger
     last = [r["key"] for r in counted.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()][::-1]
     order = np.array(last, np.int64).view(np.uint64)
     arrays = ", ".join([f"{c} array<long>" for c in _pass_columns("keys")] + [f"{c} array<int>" for c in _pass_columns("places")])
-    index = arrow_map(hashed, _index(words, fingerprint_words, least, order), f"text_hash long, fp long, size int, {arrays}")
+    index = arrow_map(hashed, _index(words, fingerprint_words, least, order), f"text_hash long, fp long, size int, parities binary, {arrays}")
     index = materialize(index.dropDuplicates(["text_hash"]), "shingle_index")
     frequent = index.sparkSession.createDataFrame([(k,) for k in last], "key long")
     found = [_pass_pairs(index, k, frequent, least, tile, every) for k in range(PASSES)]
-    pairs = materialize(reduce(DataFrame.unionByName, found).distinct(), "similar_candidates")
+    pairs = reduce(DataFrame.unionByName, found).distinct()
+    odd = lambda n: index.select(F.col("text_hash").alias(f"text_{n}"), F.col("size").alias(f"size_{n}"), F.col("parities").alias(f"parities_{n}"))
+    pairs = pairs.join(odd("a"), "text_a").join(odd("b"), "text_b").select("text_a", "text_b", "a", "b", "size_a", "size_b", "parities_a", "parities_b")
+    pairs = materialize(arrow_map(pairs, _possible(least), "text_a long, text_b long, a long, b long"), "similar_candidates")
 
     nodes = materialize(pairs.select(F.explode(F.array("text_a", "text_b")).alias("text_hash")).distinct(), "candidate_texts")
     if nodes.count() <= 500_000:  # of 8 bytes; beyond that an ordinary join
