@@ -18,6 +18,25 @@ def make(spark, tmp_path):
     return table
 
 
+@pytest.fixture
+def small_shares(spark):
+    """Tasks of a few kilobytes, as tables of gigabytes have tasks of 64 MB."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8KB")
+    yield
+    spark.conf.set(name, before)
+
+
+def many(spark, n=40_000, status="CAST(id AS STRING)", key="id", version="id"):
+    return spark.range(0, n, 1, 16).selectExpr(f"{key} AS id", f"{status} AS status", f"{version} AS version")
+
+
+def largest_file(frame) -> int:
+    """Rows of it, as tables write a file a task and bucket."""
+    return max(r["count"] for r in frame.groupBy("_metadata.file_path").count().collect())
+
+
 def df(spark, *rows, schema=SCHEMA):
     return spark.createDataFrame(list(rows), schema)
 
@@ -149,3 +168,28 @@ def test_specs(spark, tmp_path):
     assert KeyedTable(spark, a.path).spec == a.spec
     with pytest.raises(TableError):
         KeyedTable.create(spark, a.path, a.spec)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_no_task_writes_a_whole_bucket(spark, make, small_shares, adaptive):
+    t = make(changelog="input")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        t.commit(many(spark).selectExpr("*", "'+I' AS rowkind"))
+        assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    raw = t._folders(t.snapshot().live)
+    assert raw.count() == 40_000 and raw.where("bucket <> pmod(xxhash64(id), 2)").isEmpty()
+    assert largest_file(spark.read.parquet(*raw.inputFiles())) < 5_000
+    assert t.read().count() == 40_000
+
+
+def test_a_key_too_large_for_one_task_is_merged_in_shares(spark, make, small_shares):
+    t = make(changelog="input")
+    t.commit(many(spark, key="id DIV 39990").selectExpr("*", "'+I' AS rowkind"))
+    merged = t.read()
+    assert rows(merged) == [(0, "39989", 39989), (1, "39999", 39999)]
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "AQEShuffleRead coalesced and skewed" in plan or "AQEShuffleRead skewed" in plan

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +63,17 @@ class TableSpec:
         return cls(**raw | {"schema": T.StructType.fromJson(raw["schema"]), "primary_key": tuple(raw["primary_key"]), "bucket_key": tuple(raw["bucket_key"])})
 
 
+@contextmanager
+def adaptive(spark: SparkSession) -> Iterator[None]:
+    """Adaptive execution, which streams turn off, for one write: it alone knows how large a shuffle's parts are."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 class KeyedTable:
     """One table at a path that driver and executors share."""
 
@@ -149,10 +162,10 @@ class KeyedTable:
     def _write(self, rows: DataFrame) -> str:
         """A commit folder of the rows; its name."""
         name = uuid.uuid4().hex
-        dealt = rows.withColumn("bucket", self._bucket())
-        if self.spec.buckets > 1:
-            dealt = dealt.repartition(self.spec.buckets, "bucket")
-        dealt.write.partitionBy("bucket").parquet(f"{self.path}/data/commit={name}")
+        # a task sorts its rows by bucket: large buckets are split among tasks by the size that was shuffled
+        dealt = rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
+        with adaptive(rows.sparkSession):
+            dealt.write.partitionBy("bucket").parquet(f"{self.path}/data/commit={name}")
         return name
 
     def commit(self, rows: DataFrame, *, writer: str = "", identifier: int | None = None, progress: object = None, tries: int = 3, kind: str = "APPEND") -> Snapshot | None:
@@ -228,7 +241,11 @@ class KeyedTable:
         rank = F.struct(*([F.col(spec.sequence_field)] if spec.sequence_field else []), F.col("__commit"), F.col("__kind").isin("+I", "+U").alias("whole"), *[F.col(v) for v in values if not isinstance(spec.schema[v].dataType, T.MapType)])
         best = F.max_by(F.struct("__kind", *values), rank).alias("__row")
         # before-images say nothing about what a key is now
-        one = rows.where("__kind <> '-U'").groupBy(*spec.primary_key).agg(best)
+        rows = rows.where("__kind <> '-U'")
+        # aggregating structs sorts a task's rows, and a scan's task has any number of them: shares of bounded
+        # size first. By a column of their own, so that a key too large for one share may lie in several.
+        dealt = rows.withColumn("__share", F.pmod(F.xxhash64(*spec.primary_key), F.lit(4096)).cast("int")).hint("rebalance", "__share")
+        one = dealt.groupBy(*spec.primary_key).agg(best)
         kept = one if keep_order else one.where("__row.__kind <> '-D'")
         if spec.rowkind_field is None or keep_order:
             names = [f.name for f in spec.schema if f.name != spec.rowkind_field]
