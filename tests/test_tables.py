@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import types as T
 
+from weir import queries
 from weir.errors import ConflictError, DataError, TableError
 from weir.sources.tables import KeyedTable, TableSpec
 
@@ -193,3 +194,12 @@ def test_a_key_too_large_for_one_task_is_merged_in_shares(spark, make, small_sha
     assert rows(merged) == [(0, "39989", 39989), (1, "39999", 39999)]
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert "AQEShuffleRead coalesced and skewed" in plan or "AQEShuffleRead skewed" in plan
+
+
+@pytest.mark.parametrize("name", ["changelog_tail"])
+def test_queries_write_buckets_in_shares(spark, sf_dir, tmp_path, small_shares, name):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1KB")
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(16).write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    files = queries.QUERIES[name](spark, f"file://{tmp_path}").inputFiles()
+    buckets = {f.rpartition("/")[0] for f in files}
+    assert len(files) >= 2 * len(buckets) > 0
