@@ -196,6 +196,21 @@ def test_a_key_too_large_for_one_task_is_merged_in_shares(spark, make, small_sha
     assert "AQEShuffleRead coalesced and skewed" in plan or "AQEShuffleRead skewed" in plan
 
 
+def test_a_compaction_of_many_files_is_not_repeated(spark, make, small_shares):
+    t = make()
+    t.commit(many(spark))
+    t.commit(many(spark, status="'new'"))
+    assert t.compact(2).kind == "COMPACT"
+    live = spark.read.parquet(*t._folders(t.snapshot().live).inputFiles())
+    assert live.count() == 40_000 and largest_file(live) < 15_000  # several files a bucket
+    assert t.compact(2) is None
+    t.commit(df(spark, (7, "newest", 40_000)))
+    assert t.snapshot().merged == t.snapshot().live[0] and t.compact(3) is None
+    assert t.compact(2).kind == "COMPACT" and t.compact(2) is None
+    assert rows(t.read().where("status <> 'new'")) == [(7, "newest", 40_000)]
+    assert t.read().count() == 40_000
+
+
 @pytest.mark.parametrize("name", ["changelog_tail"])
 def test_queries_write_buckets_in_shares(spark, sf_dir, tmp_path, small_shares, name):
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1KB")

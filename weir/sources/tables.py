@@ -37,6 +37,7 @@ class Snapshot:
     delta: tuple[str, ...]  # what this commit added
     writers: dict[str, int] = field(default_factory=dict)
     progress: dict[str, object] = field(default_factory=dict)  # what a writer saved with it, by writer
+    merged: str | None = None  # the live folder that a compaction wrote
 
     @classmethod
     def of(cls, text: str) -> Snapshot:
@@ -122,7 +123,8 @@ class KeyedTable:
             writers[writer] = identifier
             if progress is not None:
                 saved[writer] = progress
-        new = Snapshot(base.id + 1, kind, live, delta, writers, saved)
+        merged = live[0] if kind == "COMPACT" else base.merged if base.merged in live else None
+        new = Snapshot(base.id + 1, kind, live, delta, writers, saved, merged)
         if not self.files.publish(f"{self.path}/snapshots/{new.id}.json", json.dumps(asdict(new))):
             raise ConflictError(f"snapshot {new.id} was published by another writer")
         return new
@@ -197,7 +199,11 @@ class KeyedTable:
         raise AssertionError
 
     def compact(self, min_files: int = 8, tries: int = 3) -> Snapshot | None:
-        """Merge the live folders into one, if a bucket has ``min_files`` files or more."""
+        """Merge the live folders into one, if a bucket has ``min_files`` files or more.
+
+        A large bucket's merged rows are several files; they count as one, as
+        merging them again would change nothing.
+        """
         if min_files < 2:
             raise TableError("compaction takes two files or more")
         for left in reversed(range(tries)):
@@ -206,7 +212,7 @@ class KeyedTable:
             for folder in base.live:
                 for bucket in self.files.names(f"{self.path}/data/commit={folder}"):
                     n = sum(f.endswith(".parquet") for f in self.files.names(f"{self.path}/data/commit={folder}/{bucket}"))
-                    counts[bucket] = counts.get(bucket, 0) + n
+                    counts[bucket] = counts.get(bucket, 0) + (min(n, 1) if folder == base.merged else n)
             if max(counts.values(), default=0) < min_files:
                 return None
             merged = self._merged(base, keep_order=True)
