@@ -211,7 +211,7 @@ def test_a_compaction_of_many_files_is_not_repeated(spark, make, small_shares):
     assert t.read().count() == 40_000
 
 
-@pytest.mark.parametrize("name", ["changelog_tail", "upsert_latest"])
+@pytest.mark.parametrize("name", ["changelog_tail", "upsert_latest", "table_tail"])
 def test_queries_write_buckets_in_shares(spark, sf_dir, tmp_path, small_shares, name):
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1KB")
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(16).write.parquet(f"file://{tmp_path}/lineitem.parquet")
