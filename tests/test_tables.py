@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import uuid
+
 import pytest
 from pyspark.sql import types as T
 
@@ -38,6 +40,22 @@ def largest_file(frame) -> int:
     return max(r["count"] for r in frame.groupBy("_metadata.file_path").count().collect())
 
 
+def task_memory(spark, run) -> int:
+    """Bytes of execution memory at the peak, of the tasks of the largest stage."""
+    context, group = spark.sparkContext, uuid.uuid4().hex
+    context.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    ran = [store.lastStageAttempt(s) for j in jobs for s in j.stageIds]
+    assert sum(s.numCompleteTasks() for s in ran)
+    return max(s.peakExecutionMemory() for s in ran)
+
+
 def df(spark, *rows, schema=SCHEMA):
     return spark.createDataFrame(list(rows), schema)
 
@@ -187,6 +205,25 @@ def test_no_task_writes_a_whole_bucket(spark, make, small_shares, adaptive):
     assert t.read().count() == 40_000
 
 
+def test_a_bucket_of_one_map_output_is_written_without_a_sort(spark, make, small_shares):
+    t = make()
+    # shares are split between map outputs, and one file that can't be split is one map output
+    assert task_memory(spark, lambda: t.commit(many(spark).coalesce(1))) == 0
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    raw = t._folders(t.snapshot().live)
+    assert raw.count() == 40_000 and raw.where("bucket <> pmod(xxhash64(id), 2)").isEmpty()
+    assert len(raw.inputFiles()) == 2
+
+
+def test_more_buckets_than_open_files(spark, make):
+    t = make(buckets=20)
+    t.commit(many(spark))
+    raw = t._folders(t.snapshot().live)
+    assert raw.count() == 40_000 and raw.where("bucket <> pmod(xxhash64(id), 20)").isEmpty()
+    assert raw.select("bucket").distinct().count() == 20
+    assert t.read().count() == 40_000
+
+
 def test_a_key_too_large_for_one_task_is_merged_in_shares(spark, make, small_shares):
     t = make(changelog="input")
     t.commit(many(spark, key="id DIV 39990").selectExpr("*", "'+I' AS rowkind"))

@@ -64,15 +64,21 @@ class TableSpec:
         return cls(**raw | {"schema": T.StructType.fromJson(raw["schema"]), "primary_key": tuple(raw["primary_key"]), "bucket_key": tuple(raw["bucket_key"])})
 
 
+#: For one write: adaptive execution, which streams turn off, as it alone knows how large a shuffle's parts are; and
+#: files of so many buckets open in a task (beyond that Spark sorts), so that rows are not sorted by their bucket.
+WRITE = {"spark.sql.adaptive.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "8"}
+
+
 @contextmanager
-def adaptive(spark: SparkSession) -> Iterator[None]:
-    """Adaptive execution, which streams turn off, for one write: it alone knows how large a shuffle's parts are."""
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class KeyedTable:
@@ -164,9 +170,9 @@ class KeyedTable:
     def _write(self, rows: DataFrame) -> str:
         """A commit folder of the rows; its name."""
         name = uuid.uuid4().hex
-        # a task sorts its rows by bucket: large buckets are split among tasks by the size that was shuffled
+        # large buckets are split among tasks by the size that was shuffled, but never within a map output
         dealt = rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
-        with adaptive(rows.sparkSession):
+        with settings(rows.sparkSession, WRITE):
             dealt.write.partitionBy("bucket").parquet(f"{self.path}/data/commit={name}")
         return name
 
