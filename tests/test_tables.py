@@ -3,6 +3,7 @@ from __future__ import annotations
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weir import queries
@@ -31,6 +32,17 @@ def small_shares(spark):
     spark.conf.set(name, before)
 
 
+@pytest.fixture
+def tiny_shares(spark, small_shares):
+    """Shares of 2 kilobytes that aren't put together again."""
+    name = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2KB")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2KB")
+    yield
+    spark.conf.set(name, before)
+
+
 def many(spark, n=40_000, status="CAST(id AS STRING)", key="id", version="id"):
     return spark.range(0, n, 1, 16).selectExpr(f"{key} AS id", f"{status} AS status", f"{version} AS version")
 
@@ -232,6 +244,39 @@ def test_a_key_too_large_for_one_task_is_merged_in_shares(spark, make, small_sha
     assert "AQEShuffleRead coalesced and skewed" in plan or "AQEShuffleRead skewed" in plan
 
 
+def largest_part(frame) -> int:
+    """Rows of the largest task of the frame's last stage."""
+    return max(r["n"] for r in frame.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max(F.xxhash64("*"))).collect())
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_a_merge_has_more_parts_than_the_session_sets(spark, make, tiny_shares, adaptive):
+    t = make(buckets=4)
+    t.commit(many(spark, 2_000))
+    t.commit(many(spark, 2_000, status="uuid() || id"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        assert largest_part(t.read()) < 400  # 2,000 keys in the session's 4 parts are 500 each
+        assert sorted((r["id"], len(r["status"])) for r in t.read().collect()) == [(i, 36 + len(str(i))) for i in range(2_000)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_a_small_table_is_merged_at_once(spark, make):
+    t = make(buckets=4)
+    t.commit(many(spark))
+    assert "Union" not in t.read()._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_that_change_their_bucket_are_merged_at_once(spark, make, tiny_shares):
+    t = make(bucket_key=("status",))
+    t.commit(many(spark, 2_000))
+    t.commit(many(spark, 2_000, status="CAST(id + 1 AS STRING)"))
+    assert t._shares(t.snapshot()) > 4
+    assert rows(t.read()) == [(i, str(i + 1), i) for i in range(2_000)]
+
+
 def test_a_compaction_of_many_files_is_not_repeated(spark, make, small_shares):
     t = make()
     t.commit(many(spark))
@@ -256,6 +301,11 @@ def test_queries_write_buckets_in_shares(spark, sf_dir, tmp_path, small_shares,
     assert len(files) >= 2 * len(buckets) > 0
 
 
+def test_upsert_latest_merges_in_more_parts_than_the_session_sets(spark, sf_dir, tiny_shares):
+    merged = queries.QUERIES["upsert_latest"](spark, sf_dir)
+    assert largest_part(merged) < merged.count() / 8  # the session's parts are 4
+
+
 @pytest.mark.parametrize("name", ["changelog_tail", "upsert_latest", "table_tail"])
 def test_queries_write_without_a_sort(spark, sf_dir, name):
     assert task_memory(spark, lambda: queries.QUERIES[name](spark, sf_dir)) == 0

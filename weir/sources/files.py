@@ -26,6 +26,10 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self._fs(path).listStatus(self._path(path)))
 
+    def size(self, path: str) -> int:
+        """Bytes of a folder's files, those of its folders included."""
+        return self._fs(path).getContentSummary(self._path(path)).getLength()
+
     def read(self, path: str) -> str:
         stream = self._fs(path).open(self._path(path))
         try:

@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,9 @@ class TableSpec:
 #: files of so many buckets open in a task (beyond that Spark sorts), so that rows are not sorted by their bucket.
 WRITE = {"spark.sql.adaptive.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "8"}
 
+#: A byte of a table's files is up to so many when it is shuffled (2.8 for `lineitem` by order).
+SHUFFLED = 4
+
 
 @contextmanager
 def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
@@ -246,9 +250,32 @@ class KeyedTable:
         order = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]), F.regexp_extract("_metadata.file_path", r"/commit=([0-9a-f]+)/", 1))
         return rows.withColumn("__commit", order.cast("long"))
 
+    def _shares(self, snapshot: Snapshot) -> int:
+        """Into how many shares of bounded size a merge of the snapshot deals its rows."""
+        number = self.spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+        # parts under the second size are put together again
+        share = max(number(self.spark.conf.get(f"spark.sql.adaptive.{k}")) for k in ("advisoryPartitionSizeInBytes", "coalescePartitions.minPartitionSize"))
+        return -(-SHUFFLED * sum(self.files.size(f"{self.path}/data/commit={n}") for n in snapshot.live) // share)
+
     def _merged(self, snapshot: Snapshot, keep_order: bool = False) -> DataFrame:
+        """Of each key its row.
+
+        The exchange by key that ends an aggregation has as many parts as the session
+        sets, however many rows there are. A table that is too large for them is merged
+        a few buckets at a time, each time with all parts; a bucket holds its keys whole
+        if the key says the bucket.
+        """
+        spec = self.spec
+        rows, shares, parts = self._folders(snapshot.live), self._shares(snapshot), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        times = max(1, min(spec.buckets, -(-shares // parts))) if set(spec.bucket_key) <= set(spec.primary_key) else 1
+        if times == 1:
+            return self._best(rows, spec.primary_key, max(shares, parts), keep_order)
+        # by the bucket too, as Spark puts the parts of equally partitioned frames together again in a union
+        each = [self._best(rows.where(F.col("bucket") % times == i), ("bucket", *spec.primary_key), max(-(-shares // times), parts), keep_order) for i in range(times)]
+        return reduce(DataFrame.unionAll, each)
+
+    def _best(self, rows: DataFrame, by: tuple[str, ...], shares: int, keep_order: bool) -> DataFrame:
         spec = self.spec
-        rows = self._folders(snapshot.live)
         values = [f.name for f in spec.schema if f.name not in spec.primary_key and f.name != spec.rowkind_field]
         rank = F.struct(*([F.col(spec.sequence_field)] if spec.sequence_field else []), F.col("__commit"), F.col("__kind").isin("+I", "+U").alias("whole"), *[F.col(v) for v in values if not isinstance(spec.schema[v].dataType, T.MapType)])
         best = F.max_by(F.struct("__kind", *values), rank).alias("__row")
@@ -256,8 +283,8 @@ class KeyedTable:
         rows = rows.where("__kind <> '-U'")
         # aggregating structs sorts a task's rows, and a scan's task has any number of them: shares of bounded
         # size first. By a column of their own, so that a key too large for one share may lie in several.
-        dealt = rows.withColumn("__share", F.pmod(F.xxhash64(*spec.primary_key), F.lit(4096)).cast("int")).hint("rebalance", "__share")
-        one = dealt.groupBy(*spec.primary_key).agg(best)
+        dealt = rows.withColumn("__share", F.pmod(F.xxhash64(*spec.primary_key), F.lit(4096)).cast("int")).hint("rebalance", shares, "__share")
+        one = dealt.groupBy(*by).agg(best)
         kept = one if keep_order else one.where("__row.__kind <> '-D'")
         if spec.rowkind_field is None or keep_order:
             names = [f.name for f in spec.schema if f.name != spec.rowkind_field]
