@@ -306,6 +306,13 @@ def test_upsert_latest_merges_in_more_parts_than_the_session_sets(spark, sf_dir,
     assert largest_part(merged) < merged.count() / 8  # the session's parts are 4
 
 
+def test_table_tail_compacts_in_more_parts_than_the_session_sets(spark, sf_dir, tiny_shares, monkeypatch):
+    merged, parts = KeyedTable._merged, []
+    monkeypatch.setattr(KeyedTable, "_merged", lambda *a, **b: parts.append(merged(*a, **b)) or parts[-1])
+    queries.QUERIES["table_tail"](spark, sf_dir)
+    assert largest_part(parts[0]) < parts[0].count() / 8  # the session's parts are 4
+
+
 @pytest.mark.parametrize("name", ["changelog_tail", "upsert_latest", "table_tail"])
 def test_queries_write_without_a_sort(spark, sf_dir, name):
     assert task_memory(spark, lambda: queries.QUERIES[name](spark, sf_dir)) == 0
