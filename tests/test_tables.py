@@ -67,6 +67,20 @@ def task_memory(spark, run) -> int:
     return max(s.peakExecutionMemory() for s in ran if s.outputRecords())
 
 
+def stages(spark, run) -> list:
+    """The stages that ran."""
+    context, group = spark.sparkContext, uuid.uuid4().hex
+    context.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    ran = [store.lastStageAttempt(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    return [s for s in ran if str(s.status()) == "COMPLETE"]
+
+
 def df(spark, *rows, schema=SCHEMA):
     return spark.createDataFrame(list(rows), schema)
 
@@ -226,6 +240,41 @@ def test_a_bucket_of_one_map_output_is_written_without_a_sort(spark, make, small
     assert len(raw.inputFiles()) == 2
 
 
+@pytest.fixture
+def many_parts(spark):
+    """More parts than a map task writes without sorting its rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_map_task_of_a_write_holds_no_rows(spark, make, many_parts):
+    t = make()
+    ran = stages(spark, lambda: t.commit(many(spark).coalesce(1)))
+    assert sum(s.shuffleWriteRecords() for s in ran) == 40_000 and max(s.peakExecutionMemory() for s in ran) == 0
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "400"
+    assert t.read().count() == 40_000
+
+
+def test_table_tail_holds_no_rows_in_the_tasks_of_its_commits(spark, sf_dir, many_parts, monkeypatch):
+    monkeypatch.setattr(KeyedTable, "compact", lambda *a: None)
+    ran = stages(spark, lambda: queries.QUERIES["table_tail"](spark, sf_dir))
+    assert sum(s.shuffleWriteRecords() for s in ran) == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert max(s.peakExecutionMemory() for s in ran) == 0
+
+
+def test_a_compaction_of_one_bucket_has_more_parts_than_the_session_sets(spark, make, tiny_shares):
+    t = make(buckets=1)
+    for _ in range(2):
+        t.commit(many(spark, 1_000, status="uuid() || id"))
+    ran = stages(spark, lambda: t.compact(2))
+    # the tasks that combine a share's rows, and then those that combine a key's
+    assert min(s.numTasks() for s in ran if s.shuffleReadRecords() and s.shuffleWriteRecords()) > 8  # the session's parts are 4
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert sorted((r["id"], len(r["status"])) for r in t.read().collect()) == [(i, 36 + len(str(i))) for i in range(1_000)]
+
+
 def test_more_buckets_than_open_files(spark, make):
     t = make(buckets=20)
     t.commit(many(spark))

@@ -171,12 +171,15 @@ class KeyedTable:
         key = self.spec.bucket_key or self.spec.primary_key
         return F.pmod(F.xxhash64(*key), F.lit(self.spec.buckets)).cast("int")
 
-    def _write(self, rows: DataFrame) -> str:
-        """A commit folder of the rows; its name."""
-        name = uuid.uuid4().hex
+    def _write(self, rows: DataFrame, parts: int = 0) -> str:
+        """A commit folder of the rows; its name. Exchanges in the rows' own plan have ``parts`` parts, if the session sets fewer."""
+        name, conf = uuid.uuid4().hex, rows.sparkSession.conf
+        own = int(conf.get("spark.sql.shuffle.partitions"))
+        # a map task writes its rows as they come; for more parts than this it would hold all of them to sort
+        unsorted = int(conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
         # large buckets are split among tasks by the size that was shuffled, but never within a map output
-        dealt = rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
-        with settings(rows.sparkSession, WRITE):
+        dealt = rows.withColumn("bucket", self._bucket()).hint("rebalance", max(1, min(own, unsorted)), "bucket")
+        with settings(rows.sparkSession, WRITE | {"spark.sql.shuffle.partitions": str(max(own, parts))}):
             dealt.write.partitionBy("bucket").parquet(f"{self.path}/data/commit={name}")
         return name
 
@@ -225,8 +228,8 @@ class KeyedTable:
                     counts[bucket] = counts.get(bucket, 0) + (min(n, 1) if folder == base.merged else n)
             if max(counts.values(), default=0) < min_files:
                 return None
-            merged = self._merged(base, keep_order=True)
-            name = self._write(merged)
+            shares, times = self._passes(base)
+            name = self._write(self._merged(base, keep_order=True), -(-shares // times))
             try:
                 return self._publish(base, "COMPACT", (name,), (), None, None, None)
             except ConflictError:
@@ -257,17 +260,22 @@ class KeyedTable:
         share = max(number(self.spark.conf.get(f"spark.sql.adaptive.{k}")) for k in ("advisoryPartitionSizeInBytes", "coalescePartitions.minPartitionSize"))
         return -(-SHUFFLED * sum(self.files.size(f"{self.path}/data/commit={n}") for n in snapshot.live) // share)
 
+    def _passes(self, snapshot: Snapshot) -> tuple[int, int]:
+        """A merge's shares, and in how many times it goes over the buckets: more than one only if the key says the bucket."""
+        spec, shares, parts = self.spec, self._shares(snapshot), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return shares, max(1, min(spec.buckets, -(-shares // parts))) if set(spec.bucket_key) <= set(spec.primary_key) else 1
+
     def _merged(self, snapshot: Snapshot, keep_order: bool = False) -> DataFrame:
         """Of each key its row.
 
         The exchange by key that ends an aggregation has as many parts as the session
         sets, however many rows there are. A table that is too large for them is merged
         a few buckets at a time, each time with all parts; a bucket holds its keys whole
-        if the key says the bucket.
+        if the key says the bucket. A compaction also sets more parts for its write.
         """
         spec = self.spec
-        rows, shares, parts = self._folders(snapshot.live), self._shares(snapshot), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        times = max(1, min(spec.buckets, -(-shares // parts))) if set(spec.bucket_key) <= set(spec.primary_key) else 1
+        rows, parts = self._folders(snapshot.live), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        shares, times = self._passes(snapshot)
         if times == 1:
             return self._best(rows, spec.primary_key, max(shares, parts), keep_order)
         # by the bucket too, as Spark puts the parts of equally partitioned frames together again in a union
