@@ -264,6 +264,24 @@ def test_table_tail_holds_no_rows_in_the_tasks_of_its_commits(spark, sf_dir, man
     assert max(s.peakExecutionMemory() for s in ran) == 0
 
 
+def test_table_tail_holds_no_rows_in_the_tasks_that_deal_a_compaction(spark, sf_dir, many_parts):
+    ran = [s for s in stages(spark, lambda: queries.QUERIES["table_tail"](spark, sf_dir)) if s.inputRecords() and s.shuffleWriteRecords()]
+    # the commits' rows once when they are written and once when they are merged
+    assert sum(s.shuffleWriteRecords() for s in ran) == 2 * spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert max(s.peakExecutionMemory() for s in ran) == 0
+
+
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_a_merge_of_many_shares_holds_no_rows_in_the_tasks_that_deal_them(spark, make, tiny_shares, buckets):
+    t = make(buckets=buckets)
+    for _ in range(2):
+        t.commit(many(spark, 2_000, status="uuid() || id"))
+    assert t._shares(t.snapshot()) > 200
+    ran = [s for s in stages(spark, lambda: t.compact(2)) if s.inputRecords() and s.shuffleWriteRecords()]
+    assert sum(s.shuffleWriteRecords() for s in ran) == 4_000 and max(s.peakExecutionMemory() for s in ran) == 0
+    assert sorted((r["id"], len(r["status"])) for r in t.read().collect()) == [(i, 36 + len(str(i))) for i in range(2_000)]
+
+
 def test_a_compaction_of_one_bucket_has_more_parts_than_the_session_sets(spark, make, tiny_shares):
     t = make(buckets=1)
     for _ in range(2):

@@ -73,6 +73,11 @@ WRITE = {"spark.sql.adaptive.enabled": "true", "spark.sql.maxConcurrentOutputFil
 SHUFFLED = 4
 
 
+def unsorted_parts(spark: SparkSession) -> int:
+    """Of how many parts an exchange's map task writes its rows as they come; for more it holds all of them, to sort."""
+    return max(1, int(spark.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200")))
+
+
 @contextmanager
 def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
     before = {k: spark.conf.get(k) for k in wanted}
@@ -173,12 +178,9 @@ class KeyedTable:
 
     def _write(self, rows: DataFrame, parts: int = 0) -> str:
         """A commit folder of the rows; its name. Exchanges in the rows' own plan have ``parts`` parts, if the session sets fewer."""
-        name, conf = uuid.uuid4().hex, rows.sparkSession.conf
-        own = int(conf.get("spark.sql.shuffle.partitions"))
-        # a map task writes its rows as they come; for more parts than this it would hold all of them to sort
-        unsorted = int(conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+        name, own = uuid.uuid4().hex, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # large buckets are split among tasks by the size that was shuffled, but never within a map output
-        dealt = rows.withColumn("bucket", self._bucket()).hint("rebalance", max(1, min(own, unsorted)), "bucket")
+        dealt = rows.withColumn("bucket", self._bucket()).hint("rebalance", min(own, unsorted_parts(rows.sparkSession)), "bucket")
         with settings(rows.sparkSession, WRITE | {"spark.sql.shuffle.partitions": str(max(own, parts))}):
             dealt.write.partitionBy("bucket").parquet(f"{self.path}/data/commit={name}")
         return name
@@ -228,8 +230,7 @@ class KeyedTable:
                     counts[bucket] = counts.get(bucket, 0) + (min(n, 1) if folder == base.merged else n)
             if max(counts.values(), default=0) < min_files:
                 return None
-            shares, times = self._passes(base)
-            name = self._write(self._merged(base, keep_order=True), -(-shares // times))
+            name = self._write(self._merged(base, keep_order=True), self._passes(base)[0])
             try:
                 return self._publish(base, "COMPACT", (name,), (), None, None, None)
             except ConflictError:
@@ -261,9 +262,11 @@ class KeyedTable:
         return -(-SHUFFLED * sum(self.files.size(f"{self.path}/data/commit={n}") for n in snapshot.live) // share)
 
     def _passes(self, snapshot: Snapshot) -> tuple[int, int]:
-        """A merge's shares, and in how many times it goes over the buckets: more than one only if the key says the bucket."""
-        spec, shares, parts = self.spec, self._shares(snapshot), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return shares, max(1, min(spec.buckets, -(-shares // parts))) if set(spec.bucket_key) <= set(spec.primary_key) else 1
+        """Into how many shares a merge deals its rows each time, and in how many times it goes over the buckets: more than one only if the key says the bucket."""
+        spec, shares = self.spec, self._shares(snapshot)
+        parts = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), unsorted_parts(self.spark))
+        times = max(1, min(spec.buckets, -(-shares // parts))) if set(spec.bucket_key) <= set(spec.primary_key) else 1
+        return -(-shares // times), times
 
     def _merged(self, snapshot: Snapshot, keep_order: bool = False) -> DataFrame:
         """Of each key its row.
@@ -276,10 +279,14 @@ class KeyedTable:
         spec = self.spec
         rows, parts = self._folders(snapshot.live), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         shares, times = self._passes(snapshot)
+        dealt = max(shares, parts)
+        if self.spark.conf.get("spark.sql.adaptive.enabled") == "true":
+            # parts that are too large are split
+            dealt = min(dealt, unsorted_parts(self.spark))
         if times == 1:
-            return self._best(rows, spec.primary_key, max(shares, parts), keep_order)
+            return self._best(rows, spec.primary_key, dealt, keep_order)
         # by the bucket too, as Spark puts the parts of equally partitioned frames together again in a union
-        each = [self._best(rows.where(F.col("bucket") % times == i), ("bucket", *spec.primary_key), max(-(-shares // times), parts), keep_order) for i in range(times)]
+        each = [self._best(rows.where(F.col("bucket") % times == i), ("bucket", *spec.primary_key), dealt, keep_order) for i in range(times)]
         return reduce(DataFrame.unionAll, each)
 
     def _best(self, rows: DataFrame, by: tuple[str, ...], shares: int, keep_order: bool) -> DataFrame:
